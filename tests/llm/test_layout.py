@@ -3,6 +3,7 @@
 import io
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -16,12 +17,17 @@ from .cases import documents, empty
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def library_ids(text, end):
+@lru_cache
+def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BPE)
     t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, end]
+    return t
+
+
+def library_ids(text, end):
+    return [*library().encode(text or "", add_special_tokens=False).ids, end]
 
 
 def packed(ids):

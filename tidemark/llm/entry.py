@@ -23,6 +23,24 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 8)
 
 
+def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_codec import digest
+
+    return digest(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), end_id=2)
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_planes import round_trip
 
@@ -42,7 +60,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op7_token_planes, op8_url_filter, op9_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_piece_codec, op3_license_scan, op4_quality_rules, op7_token_planes, op8_url_filter, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
