@@ -128,6 +128,9 @@ def _grow(rows: list[dict], features: list[str], cuts: dict[str, list[float]]) -
                             best = (gain, (f, above, t))
         if best[1] is None:
             break
+        f, above, t = best[1]
+        nearest = min((r[f] for r in held if r[f] > t), default=t)
+        best = (best[0], (f, above, (max(r[f] for r in held if r[f] <= t) + nearest) / 2))  # half way between what it parts
         literals.append(best[1])
         held = [r for r in held if Rule((best[1],)).covers(r)]
     return tuple(literals)
@@ -139,7 +142,7 @@ def learn(rows: list[dict], features: list[str] = FEATURES, precision: float = P
     cuts = {}
     for f in features:
         values = sorted(r[f] for r in grow)
-        cuts[f] = sorted({values[len(values) * q // QUANTILES] for q in range(QUANTILES)} | ({values[-1]} if values else set()))
+        cuts[f] = sorted({values[len(values) * q // QUANTILES] for q in range(QUANTILES)} | {values[-1]}) if values else []
 
     def score(literals) -> tuple[float, int]:
         hit = [r["_bad"] for r in prune if Rule(literals).covers(r)]
