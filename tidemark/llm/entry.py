@@ -41,6 +41,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_planes import round_trip
 
@@ -59,8 +71,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=1)
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op2_piece_codec, op3_license_scan, op4_quality_rules, op7_token_planes, op8_url_filter, op9_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_piece_codec, op3_license_scan, op4_quality_rules, op5_embedding_dedup, op6_line_dedup, op7_token_planes, op8_url_filter, op9_packing, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:

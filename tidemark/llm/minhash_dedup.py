@@ -177,10 +177,10 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, k: int = WORDS, block
     """doc_id, tkey (hash of the text), n_shingles, component_id, kept of every row.
 
     component_id: the smallest doc_id that links reach, the row's own included. Texts without
-    words (null ones too) have an empty set and link with nothing. Null ids count as larger than
-    all others and are kept only where their component has no id at all. Rows that repeat an id
-    are rows of their own; the smallest id's row is kept, and if the id repeats, the one with the
-    smallest text hash; rows that repeat wholly are told apart by `copy`, 0 for the one kept.
+    words (null ones too) have an empty set and link with nothing: their component is their own
+    id. Null ids are passed over; a component without any id has a null one. kept: the row's id
+    is the component's; where an id repeats within a component, all its rows are kept here, and
+    who removes documents takes one of them (by tkey).
     An empty table gives no rows; other columns are not read."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
