@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -26,7 +27,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_codec import digest
 
-    return digest(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), end_id=2)
+    return digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), end_id=2)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_planes import round_trip
 
-    return round_trip(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0)
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +69,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=1)
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +78,29 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def _sent(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op2_piece_codec, op3_license_scan, op4_quality_rules, op5_embedding_dedup, op6_line_dedup, op7_token_planes, op8_url_filter, op9_packing, op10_near_duplicates)}
+    every = (
+        op1_sharding,
+        op2_piece_codec,
+        op3_license_scan,
+        op4_quality_rules,
+        op5_embedding_dedup,
+        op6_line_dedup,
+        op7_token_planes,
+        op8_url_filter,
+        op9_packing,
+        op10_near_duplicates,
+    )
+    return {f.__name__: _sent(f) for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
