@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_folder, table, text_of
-from tidemark.llm.entry import _vocabulary
+from tidemark.llm.common import new_folder, ship, table, text_of
+from tidemark.llm.entry import vocabulary
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.packing import pack
@@ -39,7 +39,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of 2048 tokens."""
-    return pack(docs, _vocabulary("byte_bpe_50k.json"), end_id=1)
+    return pack(docs, vocabulary("byte_bpe_50k.json"), end_id=1)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("minhash near-dedup", near), ("packing", packing)]
@@ -49,6 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         at = new_folder(spark, name.replace(" ", "-"))
