@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words, once A-Z is in lower case.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # The base phrases and their labels.
 PHRASES = {
@@ -50,7 +51,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def words_of(text):
     """Words of a text with A-Z in lower case."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), BETWEEN), "")
 
 
 def grams(words, k: int, kind):
