@@ -41,7 +41,7 @@ def statistics(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFr
     All are expressions over one array of words. Words of repeated windows: 5-word windows are
     compared by hash, equal neighbours in sorted order give their places, and each place counts
     the words up to the next one, five at most. That is worked out only where two are equal."""
-    df = df.select(*keep, text_of(text_col).alias("_t")).withColumn("_w", F.regexp_extract_all("_t", F.lit(f"[^{SPACES}]+"), F.lit(0)))
+    df = df.select(*keep, text_of(text_col).alias("_t")).withColumn("_w", F.array_remove(F.split("_t", f"[{SPACES}]+"), ""))
     n = F.size("_w")
     windows = F.transform(
         F.when(n >= 5, F.sequence(F.lit(1), n - 4)).otherwise(F.array().cast("array<int>")),
