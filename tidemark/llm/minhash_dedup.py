@@ -3,14 +3,18 @@
 A text's set is that of its distinct word shingles. One hash of each shingle gives its bin and its
 value; the least value of each bin is the signature, and an empty bin takes the value of a bin
 that a fixed sequence of probes, the same for all texts, finds filled first. Rows of the signature
-make bands, and equal bands a bucket. Texts with equal sets are one class from here on. In a
-bucket every class is linked to the least one only, so there are fewer candidate edges than
-members; the components of these stars are the groups within which near-duplicates can lie.
+make bands, and equal bands a bucket. Texts with equal sets are one class from here on.
+
+A bucket's members are compared by their signatures, a byte a row, and each part that stays
+connected becomes a star around its least class: fewer candidate edges than members, whatever
+the bucket holds. The bound on signatures is far below the threshold, so that a link passes it but
+for a chance of about one in a million, while texts that merely share a passage do not hang
+together. The components of the stars are groups that hold every link whole.
 
 Links are then confirmed on full sets inside each group, so that no link is lost because a
-star's centre is not near both its ends. A group is worked on in blocks of a fixed number of
-classes, pairs of blocks apart from one another; each emits a forest of links that connects what
-it found connected, never the pairs.
+star's centre is not near both its ends. Buckets and groups are worked on in blocks of a fixed
+number of classes, pairs of blocks apart from one another; each emits a forest of what it found
+connected, never the pairs.
 """
 
 from __future__ import annotations
@@ -31,8 +35,10 @@ WORDS = 5
 PERCENT = 75
 #: 32 bands of 4 rows: a pair at the threshold shares no band with a chance of about 5 in a million.
 BINS, BANDS = 128, 32
-#: Classes in a block of a group.
-BLOCK = 512
+#: Equal rows of two signatures (of BINS) for a candidate: 3/4 of BINS are expected at the threshold.
+LEAST_EQUAL = 64
+#: Classes in a block of a group, and of a bucket.
+BLOCK, BUCKET_BLOCK = 512, 1024
 #: Text bytes worked on at a time.
 BATCH_BYTES = 4 << 20
 
@@ -89,10 +95,12 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         for start, texts in slices_of(batch.column(1)):
             sets = sets_of(texts, k)
             some = [i for i, s in enumerate(sets) if len(s)]
-            marks = bands(signatures([sets[i] for i in some])).view(np.int64) if some else np.empty((0, BANDS), np.int64)
             full: list = [None] * len(texts)
-            for i, m in zip(some, marks):
-                full[i] = m
+            short: list = [None] * len(texts)
+            if some:
+                signed = signatures([sets[i] for i in some])
+                for i, m, b in zip(some, bands(signed).view(np.int64), mix(signed).astype(np.uint8)):
+                    full[i], short[i] = m, b.tobytes()
             digest = [(int(np.bitwise_xor.reduce(s).view(np.int64)), int(mix(s * WINDOW_2).sum(dtype=np.uint64).view(np.int64))) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -102,8 +110,9 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                     pa.array([d[0] for d in digest], pa.int64()),
                     pa.array([d[1] for d in digest], pa.int64()),
                     pa.array(full, pa.list_(pa.int64())),
+                    pa.array(short, pa.binary()),
                 ],
-                ["doc_id", "tkey", "n_shingles", "s1", "s2", "bands"],
+                ["doc_id", "tkey", "n_shingles", "s1", "s2", "bands", "sig"],
             )
 
 
@@ -120,6 +129,67 @@ def _sized(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             )
 
 
+def alike(sigs: np.ndarray, side: np.ndarray, c: np.ndarray) -> list[tuple[int, int]]:
+    """Stars (class, least class of its part) of signatures connected by LEAST_EQUAL equal rows; across sides only if there are two."""
+    n = len(c)
+    part = np.arange(n)
+    both = bool(side.any() and not side.all())
+    left = np.ones(n, bool)
+    for i in range(n):
+        # Bit by bit from one member: those near any member of the part so far.
+        if not left[i]:
+            continue
+        todo = [i]
+        left[i] = False
+        while todo:
+            k = todo.pop()
+            at = np.flatnonzero(left & (side != side[k])) if both else np.flatnonzero(left)
+            if not len(at):
+                continue
+            near = at[(sigs[at] == sigs[k]).sum(axis=1) >= LEAST_EQUAL]
+            left[near] = False
+            part[near] = part[i]
+            todo += near.tolist()
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, part, c)
+    return [(a, b) for a, b in zip(c.tolist(), least[part].tolist()) if a != b]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows bucket, x, y, side, c, sig sorted by the first three, to the stars of each bucket's pair of blocks."""
+    held: list[pa.RecordBatch] = []
+
+    def emit(t: pa.Table) -> pa.RecordBatch:
+        key = np.stack([t.column(i).to_numpy() for i in range(3)], axis=1)
+        side, c = t.column(3).to_numpy(), t.column(4).to_numpy()
+        sigs = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(-1, BINS)
+        heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+        sizes = np.diff(np.concatenate([heads, [len(c)]]))
+        two = heads[sizes == 2]  # most buckets; all at once
+        two = two[(sigs[two] == sigs[two + 1]).sum(axis=1) >= LEAST_EQUAL]
+        u, v = [np.maximum(c[two], c[two + 1])], [np.minimum(c[two], c[two + 1])]
+        for a, n in zip(heads[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            if found := alike(sigs[a : a + n], side[a : a + n], c[a : a + n]):
+                pairs = np.array(found, np.int64)
+                u.append(pairs[:, 0])
+                v.append(pairs[:, 1])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u), pa.int64()), pa.array(np.concatenate(v), pa.int64())], ["u", "v"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        t = pa.Table.from_batches(held)
+        last = [t.column(i)[t.num_rows - 1].as_py() for i in range(3)]
+        same = np.logical_and.reduce([t.column(i).to_numpy() == last[i] for i in range(3)])
+        cut_at = int(np.argmax(same))  # a bucket's rows may go on in the next batch
+        if cut_at:
+            yield emit(t.slice(0, cut_at))
+        held = t.slice(cut_at).combine_chunks().to_batches()
+    if held:
+        yield emit(pa.Table.from_batches(held))
+
+
 class Forest:
     """Union-find over a block's members; keeps the links that joined two trees."""
 
@@ -173,6 +243,13 @@ def linked(sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[
     return forest.links
 
 
+def _paired(df: DataFrame) -> DataFrame:
+    """Deal c into `blocks` blocks and copy it to each pair (x, y) of them that it is part of; side tells its block."""
+    mine = F.pmod(F.xxhash64("c", F.lit(3)), F.col("blocks")).cast("int")
+    out = df.withColumn("b", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return out.withColumns({"x": F.least("b", "o"), "y": F.greatest("b", "o"), "side": (F.col("b") > F.col("o")).cast("int")})
+
+
 def near_duplicates(df: DataFrame, percent: int = PERCENT, k: int = WORDS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tkey (hash of the text), n_shingles, component_id, kept of every row.
 
@@ -184,15 +261,20 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, k: int = WORDS, block
     An empty table gives no rows; other columns are not read."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
-    signed = cut(keyed.mapInArrow(lambda b: _signed(b, k), "doc_id long, tkey long, n_shingles long, s1 long, s2 long, bands array<long>"))
+    signed = cut(keyed.mapInArrow(lambda b: _signed(b, k), "doc_id long, tkey long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary"))
 
     # Classes of equal sets. Their number is a hash of the set; tkey finds a text that has it.
     cls = F.xxhash64("s1", "s2", "n_shingles")
-    classes = cut(signed.filter("n_shingles > 0").groupBy(cls.alias("c")).agg(F.min("doc_id").alias("least"), F.min("tkey").alias("tkey"), F.first("bands").alias("bands")))
+    classes = cut(
+        signed.filter("n_shingles > 0")
+        .groupBy(cls.alias("c"))
+        .agg(F.min("doc_id").alias("least"), F.min("tkey").alias("tkey"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    )
     entries = classes.select("c", F.explode("bands").alias("bucket"))
-    heads = entries.groupBy("bucket").agg(F.min("c").alias("head"), F.count("*").alias("n")).filter("n > 1").select("bucket", "head")
-    stars = entries.join(heads, "bucket").filter("c != head").select(F.col("c").alias("u"), F.col("head").alias("v"))
-    groups = components(stars)
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"))
+    entries = entries.join(shared, "bucket").join(classes.select("c", "sig"), "c")
+    paired = _paired(entries).select("bucket", "x", "y", "side", "c", "sig").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    groups = components(paired.mapInArrow(_stars, "u long, v long"))
     members = groups.select(F.col("u").alias("c"), F.col("component").alias("grp")).unionByName(
         groups.select(F.col("component").alias("c"), F.col("component").alias("grp")).distinct()
     )
@@ -201,9 +283,7 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, k: int = WORDS, block
     # One text of each class in a group; texts equal to it are left out by the distinct.
     texts = keyed.select("tkey", "text").join(wanted, "tkey").dropDuplicates(["c"]).select("text", "c", "grp", "blocks")
     sized = texts.mapInArrow(lambda b: _sized(b, k), "c long, grp long, blocks int, shingles binary")
-    mine = F.pmod(F.xxhash64("c", F.lit(3)), F.col("blocks")).cast("int")
-    copies = sized.withColumn("b", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    copies = copies.select("c", "grp", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), (F.col("b") > F.col("o")).cast("int").alias("side"), "shingles")
+    copies = _paired(sized).select("c", "grp", "x", "y", "side", "shingles")
 
     def confirm(t: pa.Table) -> pa.Table:
         ids = t.column("c").to_numpy()
@@ -218,7 +298,7 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, k: int = WORDS, block
     least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
     named = of_class.join(least, "root").select("c", "component_id")
     return (
-        signed.drop("bands")
+        signed.drop("bands", "sig")
         .withColumn("c", F.when(F.col("n_shingles") > 0, cls))
         .join(named, "c", "left")
         .select("doc_id", "tkey", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
