@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship as ship
+
 #: Rows that one cell of a rank holds on average; a cell is sorted in one task.
 CELL_ROWS = 200_000
 
@@ -20,16 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, unless the path that they were started with has it."""
-    root, sc = Path(__file__).resolve().parents[2], spark.sparkContext
-    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    if any(p and Path(p).resolve() == root for p in known) or getattr(sc, "_tidemark_sent", False):
-        return
-    sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/tidemark", "zip", root, "tidemark"))
-    sc._tidemark_sent = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
