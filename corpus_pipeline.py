@@ -13,16 +13,22 @@ from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import apply, fit, statistics
 
 
+def settled(df: DataFrame, condition: str) -> DataFrame:
+    """Filter by columns as they are: without the row number, the optimizer would push the condition below the
+    projections that make them and put their whole expressions, many times over, in its place."""
+    return df.withColumn("_at", F.monotonically_increasing_id()).filter(f"({condition}) AND _at >= 0").drop("_at")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base checks and no rule of the learned list rejects; a null text goes."""
     rules = fit(docs, table(spark, sf_dir, "labels"))
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("_text"))
-    return apply(statistics(whole, ["_doc"], "_text"), rules).filter("kept").select("_doc.*")
+    return settled(apply(statistics(whole, ["_doc"], "_text"), rules), "kept").select("_doc.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without runs of 50 words or more that an earlier one has; those left without a word by that go."""
-    out = dedup_lines(docs).filter(~((F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    out = settled(dedup_lines(docs), r"NOT (n_removed > 0 AND NOT regexp_like(text, '[^\\x20\\x09-\\x0D]'))")
     text = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))}
     return out.select(*[text.get(c, F.col(c)).alias(c) for c in docs.columns])
 
