@@ -47,7 +47,7 @@ def read_text_table(spark: SparkSession, path: str, encodings: list[str] = ENCOD
     for encoding in encodings:
         options = {"header": True, "inferSchema": False, "quote": "", "encoding": encoding, "mode": "PERMISSIVE"}
         if encoding.startswith("UTF-16"):
-            options["lineSep"] = "\n"
+            options["multiLine"] = True  # lines are found after decoding, in one task a file
         try:
             df = spark.read.options(**options).csv(path)
         except Exception as e:  # an encoding that Spark does not take
