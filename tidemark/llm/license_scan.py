@@ -54,20 +54,27 @@ def words_of(text):
     return F.array_remove(F.split(F.translate(text, UPPER, LOWER), BETWEEN), "")
 
 
-def grams(words, k: int, kind):
-    """An array of (hash, position) of all rolling k-grams of an array of words."""
-    n = F.size(words) - (k - 1)
-    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(F.xxhash64(F.lit(kind), F.slice(words, i, F.lit(k))).alias("h"), (i - 1).alias("p")))
+def rolling(df: DataFrame, words: str, keep: list[str]) -> DataFrame:
+    """keep, p (position; null for a text without words), h2 and h4: hashes of the k-grams that start there, null beyond the end.
+
+    Words become longs first, and a k-gram is a row of an array zipped with itself moved on, so
+    that all that is done for each position runs in generated code."""
+    h = F.transform(words, lambda w: F.xxhash64(w))
+    moved = [F.col("_h")] + [F.slice("_h", F.lit(i + 1), F.greatest(F.size("_h") - i, F.lit(0))) for i in range(1, TEMPLATE_K)]
+    zipped = df.select(*keep, h.alias("_h")).select(*keep, F.arrays_zip(*[m.alias(f"w{i}") for i, m in enumerate(moved)]).alias("_z"))
+    at = zipped.select(*keep, F.posexplode_outer("_z").alias("p", "z"))
+    gram = lambda k: F.when(F.col(f"z.w{k - 1}").isNotNull(), F.xxhash64(F.lit(k), *[F.col(f"z.w{i}") for i in range(k)]))
+    return at.select(*keep, "p", gram(PHRASE_K).alias("h2"), gram(TEMPLATE_K).alias("h4"))
 
 
 def template_grams(spark: SparkSession, phrases: dict[str, str], templates: dict[str, str]) -> DataFrame:
     """h, t (label), tp (position), tw (words), tg (k-grams), base."""
     texts = [(label, text, True) for text, label in phrases.items()] + [(label, text, False) for label, text in templates.items()]
     df = spark.createDataFrame(texts, "t string, text string, base boolean").withColumn("w", words_of(F.col("text")))
-    every = F.when(F.col("base"), grams(F.col("w"), PHRASE_K, PHRASE_K)).otherwise(grams(F.col("w"), TEMPLATE_K, TEMPLATE_K))
-    out = df.withColumn("g", every).select("t", "base", F.size("w").alias("tw"), F.size("g").alias("tg"), F.explode("g").alias("x"))
-    known = out.select(F.col("x.h").alias("h"), "t", F.col("x.p").alias("tp"), "tw", "tg", "base")
+    k = F.when(F.col("base"), PHRASE_K).otherwise(TEMPLATE_K)
+    df = df.select("t", "base", "w", F.size("w").alias("tw"), (F.size("w") - k + 1).alias("tg"))
+    every = rolling(df, "w", ["t", "base", "tw", "tg"]).withColumn("h", F.when(F.col("base"), F.col("h2")).otherwise(F.col("h4")))
+    known = every.filter("h IS NOT NULL").select("h", "t", F.col("p").alias("tp"), "tw", "tg", "base")
     all_texts = spark.createDataFrame([("", 0, 0, 0, False)], "t string, tp int, tw int, tg int, base boolean")
     return known.unionByName(all_texts.withColumn("h", F.xxhash64(F.lit("every text"))))
 
@@ -83,12 +90,11 @@ def scan(df: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str,
     # Four phrases and six short texts: a bound set by the parameters.
     known = F.broadcast(template_grams(spark, phrases, templates))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), words_of(text_of(text_col)).alias("_w")).withColumn("_row", F.monotonically_increasing_id())
-    every = F.array(F.struct(F.xxhash64(F.lit("every text")).alias("h"), F.lit(0).alias("p")))
-    hashed = rows.select(
-        "_row", "doc_id", F.size("_w").cast("long").alias("n_words"),
-        F.explode(F.concat(grams(F.col("_w"), PHRASE_K, PHRASE_K), grams(F.col("_w"), TEMPLATE_K, TEMPLATE_K), every)).alias("x"),
-    )
-    hits = hashed.select("_row", "doc_id", "n_words", F.col("x.h").alias("h"), F.col("x.p").alias("p")).join(known, "h")
+    named = rows.select("_row", "doc_id", F.size("_w").cast("long").alias("n_words"), "_w")
+    at = rolling(named, "_w", ["_row", "doc_id", "n_words"])
+    every = F.when(F.coalesce(F.col("p"), F.lit(0)) == 0, F.xxhash64(F.lit("every text")))
+    hashed = at.select("_row", "doc_id", "n_words", F.coalesce("p", F.lit(0)).alias("p"), F.explode(F.array("h2", "h4", every)).alias("h"))
+    hits = hashed.join(known, "h")
     by_diagonal = hits.groupBy("_row", "doc_id", "n_words", "t", "base", "tw", "tg", (F.col("p") - F.col("tp")).alias("d")).agg(
         F.count_distinct("tp").alias("votes"), F.min("tp").alias("lo"), F.max("tp").alias("hi"), F.collect_set("tp").alias("tps")
     )
