@@ -641,3 +641,12 @@ def streaming_bars(spark, sf):
 @query()
 def streaming_positions(spark, sf):
     return open_positions(hits(indicators(spark, sf)).filter("cond_id < 4").select("symbol", F.col("cond_id").cast("int").alias("ea_id"), "bar_idx"), 5)
+
+
+@query()
+def x3_research_run(spark, sf):
+    from .research import Config, research
+
+    config = Config(max_horizon=4, alpha=0.5, min_freq_per_year=1, wf_train_bars=40, wf_test_bars=20, wf_step_bars=20, permutation_n=20, permutation_random_state=1, costs=simulate.Costs(0.01), pip_value=0.01, min_precheck_expectancy_r=-10.0)
+    edges = research(indicators(spark, sf), config, CONDITIONS[:6]).edges
+    return rounded(edges.select("symbol", "condition", "direction", "best_horizon", "n_trades", "expectancy_r", "permutation_p", "sensitivity", "gate_passed", F.array_join("reasons", "; ").alias("reasons")))

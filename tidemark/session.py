@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -18,3 +18,19 @@ def ship(spark: SparkSession) -> None:
         return
     sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/tidemark", "zip", root, "tidemark"))
     sc._tidemark_sent = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session; a temporary one only where it is unset."""
+    sc = spark.sparkContext
+    at = sc._jsc.sc().getCheckpointDir()
+    if at.isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        at = sc._jsc.sc().getCheckpointDir()
+    return at.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage and plan through the shared folder; survives the loss of executors."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
