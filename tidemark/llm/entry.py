@@ -104,6 +104,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .url_filter import ORACLE
+    from . import embedding_dedup, minhash_dedup, url_filter
 
-    return {"op8_url_filter": ORACLE}
+    return {"op5_embedding_dedup": embedding_dedup.ORACLE, "op8_url_filter": url_filter.ORACLE, "op10_near_duplicates": minhash_dedup.ORACLE}
