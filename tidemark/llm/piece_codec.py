@@ -5,11 +5,11 @@ then from left to right, and merges from its top until no pair makes a piece. No
 vocabulary has a space mark behind another character, so what lies between two marks never
 merges across them: a text is the sequence of its words, each with the marks before it, and equal
 words have equal ids. Words of one length are merged together, a step of every agenda at a time;
-long ones and those with characters outside the vocabulary have an agenda of their own.
+long ones have an agenda of their own. A character that no piece has is spelled in bytes.
 
-Every word that a worker meets for the first time is checked against the library, and so is one
-whole text of every slice; a word that differs gets the library's ids, and if a whole text
-differs the worker goes on with the library alone.
+A whole text of every slice is checked against the library, and so is each long word, and each
+with foreign characters, that a worker meets for the first time. A word that differs gets the
+library's ids; if a whole text differs, the worker goes on with the library alone.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from .tokens import slices
 MARK = "▁"
 NONE = np.int32(2**31 - 1)
 #: Words up to so many characters are merged in step.
-STEP_LENGTH = 24
+STEP_LENGTH = 64
 #: Words whose ids a worker remembers; it starts afresh beyond that.
 REMEMBERED = 250_000
 
@@ -54,9 +54,10 @@ class Vocabulary:
         order = {s: k for k, s in enumerate(sorted({lib.get_score(i) for i in plain}, reverse=True))}
         self.rank = {p: order[lib.get_score(i)] for p, i in self.piece.items()}
         self.size = n
-        self.ints = list(range(n))
-        self.decimals = list(map(str, self.ints))
-        self.chars = np.full(0x110000, -1, np.int32)
+        self.decimals = list(map(str, range(n)))
+        # Characters that no piece has are the symbol n, which makes no pair; those that only longer pieces have are n + 1.
+        self.chars = np.full(0x110000, n, np.int32)
+        self.chars[[ord(c) for c in {c for p in self.piece for c in p}]] = n + 1
         for p, i in self.piece.items():
             if len(p) == 1:
                 self.chars[ord(p)] = i
@@ -65,46 +66,56 @@ class Vocabulary:
             for k in range(1, len(p)):
                 a, b = self.piece.get(p[:k]), self.piece.get(p[k:])
                 if a is not None and b is not None:
-                    pairs[a * n + b] = (self.rank[p], i)
+                    pairs[a * (n + 1) + b] = (self.rank[p], i)
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int32)
         self.made = np.array([pairs[k][1] for k in self.keys.tolist()], np.int32)
 
     def look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and id of the piece that each pair makes; rank NONE if none."""
-        key = a.astype(np.int64) * self.size + b
+        key = a.astype(np.int64) * (self.size + 1) + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         hit = self.keys[at] == key
         return np.where(hit, self.ranks[at], NONE), self.made[at]
 
-    def in_step(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
-        """Words of one length whose characters are all pieces."""
+    def in_step(self, words: list[str], places: list[int], out: list[list[int]]) -> None:
+        """Put the ids of words of one length, without odd characters, in their places of out."""
         length = len(words[0])
         at = np.arange(len(words))
         s = self.chars[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)].reshape(-1, length)
+        foreign = (s == self.size).any(axis=1)
         ranks, made = self.look(s[:, :-1], s[:, 1:])
         while len(at):
-            best = ranks.argmin(axis=1) if s.shape[1] > 1 else np.zeros(len(at), np.int64)
-            rows = np.arange(len(at))
-            going = ranks[rows, best] != NONE if s.shape[1] > 1 else np.zeros(len(at), bool)
-            for k, ids in zip(at[~going].tolist(), s[~going].tolist()):
-                yield words[k], ids
+            if s.shape[1] > 1:
+                best = ranks.argmin(axis=1)
+                going = ranks[np.arange(len(at)), best] != NONE
+            else:
+                best, going = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+            for k, ids, f in zip(at[~going].tolist(), s[~going].tolist(), foreign[at[~going]].tolist()):
+                out[places[k]] = self._spelled(words[k], ids) if f else ids
             at, s, ranks, made, best = at[going], s[going], ranks[going], made[going], best[going]
             if not len(at):
                 return
             rows, cols = np.arange(len(at)), np.arange(s.shape[1] - 1)
             s[rows, best] = made[rows, best]
-            skip = cols[None, :] + (cols[None, :] > best[:, None])
-            s = np.take_along_axis(s, skip, axis=1)
+            s = np.take_along_axis(s, cols + (cols > best[:, None]), axis=1)
             if s.shape[1] == 1:
                 continue
-            drop = cols[None, :-1] + (cols[None, :-1] >= best[:, None])
+            drop = cols[:-1] + (cols[:-1] >= best[:, None])
             ranks, made = np.take_along_axis(ranks, drop, axis=1), np.take_along_axis(made, drop, axis=1)
             for side in (best - 1, best):
                 ok = np.flatnonzero((side >= 0) & (side < s.shape[1] - 1))
                 k = side[ok]
                 ranks[ok, k], made[ok, k] = self.look(s[ok, k], s[ok, k + 1])
 
+    def _spelled(self, word: str, symbols: list[int]) -> list[int]:
+        """Ids of symbols, of which the foreign ones stand for the word's foreign characters in order."""
+        foreign = iter([c for c in word if self.chars[ord(c)] == self.size])
+        return [i for x in symbols for i in (self._bytes(next(foreign)) if x == self.size else (x,))]
+
+    def _bytes(self, c: str) -> list[int]:
+        return [self.bytes[f"<0x{b:02X}>"] for b in c.encode()] if self.bytes else [self.unknown]
+
     def alone(self, word: str) -> list[int]:
         """The agenda of one word, as a heap."""
         sym, prev, nxt = list(word), list(range(-1, len(word) - 1)), [*range(1, len(word)), -1]
@@ -131,34 +142,39 @@ class Vocabulary:
         for p in filter(None, sym):
             if p in self.piece:
                 ids.append(self.piece[p])
-            elif self.bytes:
-                ids += [self.bytes[f"<0x{b:02X}>"] for b in p.encode()]
             else:
-                ids.append(self.unknown)
+                ids += self._bytes(p)
         return ids
 
-    def words(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
-        by_length: dict[int, list[str]] = {}
-        known = self.chars
-        for w in words:
-            if len(w) <= STEP_LENGTH:
-                by_length.setdefault(len(w), []).append(w)
-            else:
-                yield w, self.alone(w)
-        for length, same in by_length.items():
-            codes = np.frombuffer("".join(same).encode("utf-32-le"), np.uint32).reshape(-1, length)
-            plain = (known[codes] >= 0).all(axis=1)
-            for k in np.flatnonzero(~plain).tolist():
-                yield same[k], self.alone(same[k])
-            if plain.any():
-                yield from self.in_step([w for w, ok in zip(same, plain.tolist()) if ok])
+    def words(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word."""
+        out: list[list[int]] = [[]] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(k)
+        for length, places in by_length.items():
+            if length > STEP_LENGTH:
+                for k in places:
+                    out[k] = self.alone(words[k])
+            elif length:
+                same = [words[k] for k in places]
+                codes = np.frombuffer("".join(same).encode("utf-32-le"), np.uint32).reshape(-1, length)
+                odd = (self.chars[codes] > self.size).any(axis=1)
+                if odd.any():
+                    for k in np.flatnonzero(odd).tolist():
+                        out[places[k]] = self.alone(same[k])
+                    left = np.flatnonzero(~odd).tolist()
+                    same, places = [same[k] for k in left], [places[k] for k in left]
+                if same:
+                    self.in_step(same, places, out)
+        return out
 
 
 class Codec:
     def __init__(self, model: str):
         self.v = Vocabulary(model)
         self.own = self.v.splits_at_marks and self._same_normal_form()
-        self.known: dict[str, tuple[list[int], str]] = {}
+        self.ids: dict[str, list[int]] = {}
         self.checked = self.differed = 0
 
     def _same_normal_form(self) -> bool:
@@ -175,20 +191,18 @@ class Codec:
         return [w[1:] for w in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))]
 
     def _meet(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
+        new = [w for w in words if w not in self.ids]
         if not new:
             return
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        ids = dict(self.v.words([MARK + w for w in new]))
-        known, ints, decimals = self.known, self.v.ints, self.v.decimals
-        self.checked += len(new)
-        for w, want in zip(new, self.v.library.encode(new, num_threads=1)):
-            got = ids[MARK + w]
-            if got != want and w:
-                self.differed += 1
-                got = want
-            known[w] = ([ints[i] for i in got], " ".join([decimals[i] for i in got]))
+        if len(self.ids) + len(new) > REMEMBERED:
+            self.ids = {w: self.ids[w] for w in words if w in self.ids}
+        found = self.v.words([MARK + w for w in new])
+        rare = [k for k, w in enumerate(new) if w and (len(w) >= STEP_LENGTH or not w.isalnum() and not w.isprintable())]
+        for k, want in zip(rare, self.v.library.encode([new[k] for k in rare], num_threads=1) if rare else []):
+            self.differed += found[k] != want
+            found[k] = want
+        self.checked += len(rare)
+        self.ids.update(zip(new, found))
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """Ids of each text, and their decimals joined by a space."""
@@ -196,11 +210,8 @@ class Codec:
             gc.disable()  # nothing here makes cycles, and the words remembered are many to visit
             split = [self.split(t) for t in texts]
             self._meet(set(chain.from_iterable(split)))
-            known = self.known
-            out = []
-            for words in split:
-                found = [known[w] for w in words]
-                out.append((list(chain.from_iterable([f[0] for f in found])), " ".join([f[1] for f in found])))
+            ids, decimal = self.ids.__getitem__, self.v.decimals.__getitem__
+            out = [(found, " ".join(map(decimal, found))) for found in (list(chain.from_iterable(map(ids, words))) for words in split)]
             gc.enable()
             probe = min(range(len(texts)), key=lambda i: abs(len(texts[i]) - 2000)) if texts else None
             if probe is None or out[probe][0] == self.v.library.encode(texts[probe]):
