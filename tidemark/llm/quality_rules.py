@@ -31,14 +31,15 @@ QUANTILES = 32
 
 SPACES = r"\x20\x09-\x0D"
 FEATURES = [
-    "n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "distinct_share", "upper_share", "digit_share", "pipe_share", "mark_share", "mean_line",
+    "n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "richness", "upper_share", "digit_share", "pipe_share", "mark_share", "mean_line",
 ]
 
 
 def statistics(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns of `keep` and the statistics of every row's text; a null text is the empty one.
 
-    All are expressions over one array of words. Words of repeated windows: 5-word windows are
+    All are expressions over one array of words. richness, the log of the distinct words over that of
+    all words, hardly falls with the length of clean texts, as the share of distinct words does. Words of repeated windows: 5-word windows are
     compared by hash, equal neighbours in sorted order give their places, and each place counts
     the words up to the next one, five at most. That is worked out only where two are equal."""
     df = df.select(*keep, text_of(text_col).alias("_t")).withColumn("_w", F.array_remove(F.split("_t", f"[{SPACES}]+"), ""))
@@ -82,7 +83,7 @@ def statistics(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFr
         share(F.col("n_symbols"), F.col("n_words")).alias("symbol_share"),
         share(F.col("n_dup_lines"), F.col("_lines")).alias("dup_line_share"),
         share(F.col("n_repeat_words"), F.col("n_words")).alias("repeat_share"),
-        share(F.col("_dw"), F.col("n_words")).alias("distinct_share"),
+        F.when(F.col("n_words") > 1, F.ln("_dw") / F.ln("n_words")).otherwise(1.0).alias("richness"),
         share(F.col("n_words"), F.col("_lines")).alias("mean_line"),
     ).drop("_lines", "_dw")
 
