@@ -183,6 +183,43 @@ def test_line_runs(spark):
     assert {x.strip() for r in got for x in r["text"].encode().split(b"\n")} | {b""} == every | {b""}
 
 
+def doc_of(*parts):
+    return "\n".join(p for part in parts for p in ([part] if isinstance(part, str) else part))
+
+
+def test_a_frequent_line_does_not_hide_a_repeated_run(spark):
+    """Whatever line of a run stands elsewhere before, the run's later copy goes whole, and no window of the input is left twice."""
+    least, rng = 50, random.Random(17)
+    rows = []
+    for t in range(20):  # doc 1 has the common line in other surroundings; docs 2 and 3 share 28 + 4 + 28 words around it
+        line = lambda name, n: " ".join(f"{name}{t}x{k}" for k in range(n))
+        c, x1, x2 = line("c", 4), line("a", 28), line("b", 28)
+        rows += [(3 * t, doc_of(c, line("o", 30))), (3 * t + 1, doc_of(line("p", 5), x1, c, x2)), (3 * t + 2, doc_of(x1, c, x2, line("q", 5)))]
+    # A run whose head stands alone before: its tail, too short for a window from it on, goes with it.
+    head, tail = " ".join(f"h{k}" for k in range(60)), " ".join(f"t{k}" for k in range(10))
+    rows += [(100, doc_of(head, "else")), (101, doc_of(head, tail, "end one")), (102, doc_of("begin", head, tail, "end two"))]
+    stock = [" ".join(f"s{i}y{k}" for k in range(rng.choice([1, 3, 9, 20, 60]))) for i in range(25)] + ["", " "]
+    for i in range(60):  # dense repeats in changing order
+        runs = [stock[(at := rng.randrange(len(stock))) : at + rng.randrange(1, 8)] for _ in range(rng.randrange(1, 6))]
+        rows.append((200 + i, doc_of(*runs)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    docs, lines, may = run_brute(df.collect(), least)
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, least).collect()}
+    # Document order is by id here, as no id repeats.
+    for d in docs:
+        own = [x.encode() for x in d[1].split("\n")]
+        want = [x for i, x in enumerate(own) if i not in may[d]]
+        assert got[d[0]]["text"].encode() == b"\n".join(want) and got[d[0]]["n_removed"] == len(may[d])
+    left = Counter()
+    for d in docs:
+        gone, own = may[d], lines[d]
+        for s in range(len(own)):
+            e = next((e for e in range(s, len(own) + 1) if sum(len(x.split()) for x in own[s:e]) >= least), None)
+            if e and own[s] and not gone & set(range(s, e)):
+                left[tuple(own[s:e])] += 1
+    assert left and max(left.values()) == 1
+
+
 def test_a_long_line_that_repeats_is_deleted_once_kept(spark):
     line = " ".join(f"p{i}" for i in range(60))
     df = spark.createDataFrame([(i, f"first {i}\n{line}\nlast {i}") for i in range(5)] + [(9, f"{line}\nx\n{line}")], "doc_id long, text string")

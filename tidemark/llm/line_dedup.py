@@ -1,14 +1,14 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by hashes of whole windows of lines.
 
-A window is the shortest run of lines, from each line on, that has at least `least_words` words;
-the line with the least hash in it is selected. Two texts that share a run of that many words
-share the run's first window and so its selected line: no such run goes unseen, whatever lies
-around it. Selected lines are joined to their first occurrence in the order of documents (by id,
-then text hash, then line). Each match is extended both ways along its diagonal, and where the
-run that comes out has `least_words` words, its later lines are deleted.
+A window is the shortest run of lines, from each line on and up to each line, that has at least
+`least_words` words. Its key is a hash of all its lines. Each window that stands earlier in the
+order of documents (by id, then text hash, then line) is deleted. Two texts that share a run of
+that many words share all windows inside it, whatever lies around it, and these cover the run:
+a line has the window up to it inside the run or, near the run's start, the window from the start.
+So exactly those lines go that are in a run of `least_words` words that stands earlier.
 
 A line is only ever deleted if the same line stands earlier, so the earliest one stays, whatever
-else is deleted. Every later occurrence is linked to one first occurrence, never to all others.
+else is deleted. Every later window is joined to one first occurrence, never to all others.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from .minhash_dedup import slices_of
 
 #: Words of the shortest repeated run that is sure to be found, and that is deleted.
 LEAST_WORDS = 50
+OUTER = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def lines_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -59,71 +60,61 @@ def selected(hashes: np.ndarray, counts: np.ndarray, least_words: int) -> list[i
     return out
 
 
+def windows(counts: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First line and end of each shortest run, from each line on and up to each, that has least_words words."""
+    total = np.concatenate([[0], np.cumsum(counts)])
+    ahead = np.flatnonzero(total[:-1] + least_words <= total[-1])
+    back = np.flatnonzero(total[1:] >= least_words) + 1
+    first = np.concatenate([ahead, np.searchsorted(total, total[back] - least_words, side="right") - 1])
+    end = np.concatenate([np.searchsorted(total, total[ahead] + least_words, side="left"), back])
+    both = np.unique(first * len(total) + end)
+    return both // len(total), both % len(total)
+
+
+def keys_of(hashes: np.ndarray, counts: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two hashes of each window. Outer lines without words are counted, not hashed, so that many of them stay cheap."""
+    total = np.concatenate([[0], np.cumsum(counts)])
+    a, b = np.searchsorted(total, total[first], side="right") - 1, np.searchsorted(total, total[end], side="left")
+    cores, at = np.unique(a * len(total) + b, return_inverse=True)
+    held = memoryview(hashes.tobytes())
+    digests = [xxhash.xxh3_128_digest(held[8 * x : 8 * y]) for x, y in zip((cores // len(total)).tolist(), (cores % len(total)).tolist())]
+    out = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)[at]
+    out[:, 1] += (a - first).astype(np.uint64) * OUTER[0] + (end - b).astype(np.uint64) * OUTER[1]
+    return out.view(np.int64)
+
+
 def _scanned(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, texts in slices_of(batch.column(2)):
-            rows = []
-            for text in texts:
+            rows, firsts, ends, keys = [], [], [], []
+            for row, text in enumerate(texts):
                 hashes, counts = lines_of(text)
-                rows.append((hashes.view(np.int64), counts.astype(np.int32), np.array(selected(hashes, counts, least_words), np.int32)))
+                first, end = windows(counts, least_words)
+                rows.append(np.full(len(first), start + row))
+                firsts.append(first)
+                ends.append(end)
+                keys.append(keys_of(hashes, counts, first, end))
+            at, key = pa.array(np.concatenate(rows), pa.int64()), np.concatenate(keys)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i).slice(start, len(texts)) for i in (0, 1)]
-                + [pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary())]
-                + [pa.array([r[2] for r in rows], pa.list_(pa.int32()))],
-                ["ord", "tkey", "hashes", "counts", "picked"],
+                [batch.column(0).take(at), batch.column(1).take(at)]
+                + [pa.array(np.concatenate(x), pa.int32()) for x in (firsts, ends)]
+                + [pa.array(np.ascontiguousarray(key[:, i])) for i in (0, 1)],
+                ["ord", "tkey", "first", "end", "k1", "k2"],
             )
 
 
-def extend(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
-    """The run [first, end) of lines of a around i that equal those of b around j."""
-    back = min(i, j)
-    same = a[i - back : i][::-1] == b[j - back : j][::-1]
-    back = int(np.argmin(same)) if not same.all() else back
-    ahead = min(len(a) - i, len(b) - j)
-    same = a[i : i + ahead] == b[j : j + ahead]
-    ahead = int(np.argmin(same)) if not same.all() else ahead
-    return i - back, i + ahead
-
-
-def _extended(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
-    """Matches to deleted runs. Columns: ord, tkey, i, j, same (one document), hashes, counts, hashes of the first one."""
-    for batch in batches:
-        out: list[tuple[int, int, int]] = []
-        for n in range(batch.num_rows):
-            i, j, same = batch.column(2)[n].as_py(), batch.column(3)[n].as_py(), batch.column(4)[n].as_py()
-            a, b = (np.frombuffer(batch.column(c)[n].as_py(), np.int64) for c in (5, 7))
-            counts = np.frombuffer(batch.column(6)[n].as_py(), np.int32)
-            first, end = extend(a, b, i, j)
-            if counts[first:end].sum() >= least_words:
-                out.append((n, first, end))
-        rows = pa.array([n for n, _, _ in out], pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())],
-            ["ord", "tkey", "first", "end"],
-        )
-
-
 def repeated_runs(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """ord, tkey and runs (an array of [first, end) lines to delete) of documents that repeat earlier ones.
 
     ord is the id, the largest long for null. Rows equal in id and text are one document here."""
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     keyed = df.select(order.alias("ord"), F.xxhash64(text_of(text_col)).alias("tkey"), text_of(text_col).alias("text"))
-    scanned = cut(keyed.mapInArrow(lambda b: _scanned(b, least_words), "ord long, tkey long, hashes binary, counts binary, picked array<int>"))
-    # Equal rows come out equal; the distinct picks of both are one.
-    picks = scanned.withColumn("picked", F.explode("picked")).select("ord", "tkey", F.expr("substring(hashes, picked * 8 + 1, 8)").alias("line"), F.col("picked").alias("i"))
-    firsts = picks.groupBy("line").agg(F.min(F.struct("ord", "tkey", "i")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("line", "f")
-    later = picks.join(firsts, "line").filter(F.struct("ord", "tkey", "i") != F.col("f"))
-    # One match for each diagonal of a pair of documents and window is enough; each carries its own place.
-    later = later.select("ord", "tkey", "i", F.col("f.ord").alias("ford"), F.col("f.tkey").alias("ftkey"), F.col("f.i").alias("j")).distinct()
-    bodies = scanned.select("ord", "tkey", "hashes", "counts").dropDuplicates(["ord", "tkey"])
-    of_first = bodies.select(F.col("ord").alias("ford"), F.col("tkey").alias("ftkey"), F.col("hashes").alias("fhashes"))
-    matches = later.join(bodies, ["ord", "tkey"]).join(of_first, ["ford", "ftkey"])
-    same = (F.col("ord") == F.col("ford")) & (F.col("tkey") == F.col("ftkey"))
-    runs = matches.select("ord", "tkey", "i", "j", same.alias("same"), "hashes", "counts", "fhashes").mapInArrow(
-        lambda b: _extended(b, least_words), "ord long, tkey long, first int, end int"
-    )
-    return runs.groupBy("ord", "tkey").agg(F.collect_set(F.struct("first", "end")).alias("runs"))
+    scanned = cut(keyed.mapInArrow(lambda b: _scanned(b, least_words), "ord long, tkey long, first int, end int, k1 long, k2 long"))
+    place = F.struct("ord", "tkey", "first")
+    # Equal rows come out equal; their windows have one place.
+    earliest = scanned.groupBy("k1", "k2").agg(F.min(place).alias("f"), F.count("*").alias("n")).filter("n > 1").select("k1", "k2", "f")
+    later = scanned.join(earliest, ["k1", "k2"]).filter(place != F.col("f"))
+    return later.groupBy("ord", "tkey").agg(F.collect_set(F.struct("first", "end")).alias("runs"))
 
 
 def dedup_lines(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
