@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import new_folder, ship, table, text_of
 from tidemark.llm.entry import vocabulary
 from tidemark.llm.line_dedup import dedup_lines
-from tidemark.llm.minhash_dedup import near_duplicates
+from tidemark.llm.minhash_dedup import rooted_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import apply, fit, statistics
 
@@ -35,11 +35,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least id (then text hash)."""
-    kept = near_duplicates(docs).filter("kept")
-    alone = kept.filter("n_shingles = 0").select("doc_id", "tkey").distinct()
-    first = kept.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("tkey").alias("tkey"))
-    keys = alone.unionByName(first).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("tkey").alias("_key"))
-    named = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-1)), "_none": F.col("doc_id").isNull(), "_key": F.xxhash64(text_of("text"))})
+    id_none = {"_id": F.coalesce("doc_id", F.lit(-1)), "_none": F.col("doc_id").isNull()}
+    kept = rooted_duplicates(docs).filter("kept").withColumns(id_none)
+    alone = kept.filter("n_shingles = 0").select("_id", "_none", F.col("tkey").alias("_key")).distinct()
+    first = kept.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct("_none", "_id", "tkey")).alias("f"))
+    keys = alone.unionByName(first.select("f._id", "f._none", F.col("f.tkey").alias("_key")))
+    named = docs.withColumns(id_none | {"_key": F.xxhash64(text_of("text"))})
     return named.join(keys, ["_id", "_none", "_key"], "left_semi").dropDuplicates(["_id", "_none", "_key"]).select(*docs.columns)
 
 

@@ -48,6 +48,27 @@ def test_near_stage_leaves_one_of_each_group(spark):
     assert STAGES["minhash near-dedup"](spark, twice, SF).count() == 30 - (30 - len(set(near_of(docs.limit(30).collect()))))
 
 
+def test_near_stage_leaves_one_of_each_group_without_ids(spark):
+    """Groups are told apart by themselves: ids may be null, or repeat over unlike texts."""
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    rows = [(None, text(f"n{i}g")) for i in range(6)]  # six groups without any id
+    rows += [(None, text("n0g") + " more"), (None, text("n1g") + " more"), (None, text("n2g")), (8, text("n3g") + " more")]
+    rows += [(7, text(f"s{i}g")) for i in range(4)] + [(7, text("s0g") + " more"), (9, text("s1g") + " more"), (7, text("s2g"))]
+    rows += [(5, text("lone"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for of in (docs, documents(spark).select(*COLUMNS)):
+        every = of.collect()
+        groups = defaultdict(list)
+        for r, g in zip(every, near_of(every)):
+            groups[g if shingle_set(r["text"]) else (r["doc_id"], r["text"] or "")].append(r)
+        out = STAGES["minhash near-dedup"](spark, of, SF).collect()
+        assert len(out) == len(groups)
+        for members in groups.values():
+            least = min((r["doc_id"] is None, r["doc_id"] or 0) for r in members)
+            stay = {(r["doc_id"], r["text"]) for r in members if (r["doc_id"] is None, r["doc_id"] or 0) == least}
+            assert sum((r["doc_id"], r["text"]) in stay for r in out) == 1
+
+
 def near_of(rows):
     sets = [shingle_set(r["text"]) for r in rows]
     links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and 100 * len(x := sets[i] & sets[j]) >= 75 * (len(sets[i]) + len(sets[j]) - len(x))]

@@ -259,6 +259,12 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, k: int = WORDS, block
     is the component's; where an id repeats within a component, all its rows are kept here, and
     who removes documents takes one of them (by tkey).
     An empty table gives no rows; other columns are not read."""
+    return rooted_duplicates(df, percent, k, block, id_col, text_col).drop("root")
+
+
+def rooted_duplicates(df: DataFrame, percent: int = PERCENT, k: int = WORDS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_duplicates with root, the component's own key: unlike ids, which may be null or repeat, no two components
+    share it. Null for texts without words."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
     signed = cut(keyed.mapInArrow(lambda b: _signed(b, k), "doc_id long, tkey long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary"))
@@ -296,12 +302,12 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, k: int = WORDS, block
     # Components are numbered by the least id in them.
     of_class = classes.select("c", "least").join(found.select(F.col("u").alias("c"), "component"), "c", "left").withColumn("root", F.coalesce("component", "c"))
     least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of_class.join(least, "root").select("c", "component_id")
+    named = of_class.join(least, "root").select("c", "root", "component_id")
     return (
         signed.drop("bands", "sig")
         .withColumn("c", F.when(F.col("n_shingles") > 0, cls))
         .join(named, "c", "left")
-        .select("doc_id", "tkey", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", "tkey", "n_shingles", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
