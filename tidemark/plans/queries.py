@@ -217,15 +217,26 @@ def i5_calendar(spark, sf):
     SELECT b.symbol, b.bar_idx, e.event_id AS last_id, f.event_id AS next_id FROM bars b ASOF LEFT JOIN e ON b.symbol = e.symbol AND b.time > e.ts ASOF LEFT JOIN e f ON b.symbol = f.symbol AND b.time <= f.ts"""
 )
 def j2_j3_asof(spark, sf):
+    return _nearest_events(spark, sf, read(spark, sf, "events").filter("event_id % 9 = 0"))
+
+
+@query()
+def j2_j3_asof_all(spark, sf):
+    """Over all events; the SQL of j2_j3_asof has every ninth."""
+    return _nearest_events(spark, sf, read(spark, sf, "events"))
+
+
+def _nearest_events(spark, sf, events):
     b = hourly(spark, sf).select("symbol", "bar_idx", F.col("time").cast("timestamp").alias("time"))
-    e = read(spark, sf, "events").filter("event_id % 9 = 0").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    e = events.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
     out = asof.asof(b, e, ["symbol"], "time", "ts", ["event_id"]).withColumnRenamed("asof_event_id", "last_id").drop("asof_time")
     out = asof.asof(out, e, ["symbol"], "time", "ts", ["event_id"], forward=True, inclusive=True)
     return out.select("symbol", "bar_idx", "last_id", F.col("asof_event_id").alias("next_id"))
 
 
-def _spread_table(spark, sf):
-    e = read(spark, sf, "events").filter("event_id % 3 = 0")
+def _spread_table(spark, sf, whole=False):
+    """Spreads by hour: of all events, or of every third, as in the SQL."""
+    e = read(spark, sf, "events").filter("true" if whole else "event_id % 3 = 0")
     return e.groupBy(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("time")).agg((F.round(F.avg("value")) - 40).alias("spread"))
 
 
@@ -234,13 +245,33 @@ _SPREAD = "sp AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS time, r
 
 @query(f"WITH {BARS}, {_SPREAD} SELECT symbol, bar_idx, round(coalesce(k, 30.0), 4) AS spread, k IS NULL AS fallback FROM al")
 def j9_spread(spark, sf):
-    out = asof.align_spread(hourly(spark, sf), _spread_table(spark, sf), 30.0, ["symbol"])
+    return _aligned(spark, sf)
+
+
+@query()
+def j9_spread_all(spark, sf):
+    """Over all events; the SQL of j9_spread has every third."""
+    return _aligned(spark, sf, whole=True)
+
+
+def _aligned(spark, sf, whole=False):
+    out = asof.align_spread(hourly(spark, sf), _spread_table(spark, sf, whole), 30.0, ["symbol"])
     return rounded(out.select("symbol", "bar_idx", "spread", "fallback"), 4)
 
 
 @query(f"WITH {BARS}, {_SPREAD} SELECT symbol, count(*) AS n, round(avg(spread), 6) AS mean, round(quantile_cont(spread, 0.5), 6) AS median, round(quantile_cont(spread, 0.9), 6) AS p90, round(quantile_cont(spread, 0.99), 6) AS p99, max(spread) AS most FROM sp GROUP BY 1")
 def a29_spread_calibration(spark, sf):
-    s = _spread_table(spark, sf).groupBy("symbol")
+    return _calibration(spark, sf)
+
+
+@query()
+def a29_spread_calibration_all(spark, sf):
+    """Over all events; the SQL of a29_spread_calibration has every third."""
+    return _calibration(spark, sf, whole=True)
+
+
+def _calibration(spark, sf, whole=False):
+    s = _spread_table(spark, sf, whole).groupBy("symbol")
     return rounded(s.agg(F.count("*").alias("n"), F.avg("spread").alias("mean"), *[F.percentile("spread", p).alias(n) for p, n in ((0.5, "median"), (0.9, "p90"), (0.99, "p99"))], F.max("spread").alias("most")))
 
 
@@ -462,8 +493,18 @@ def i3_price_structure(spark, sf):
     FROM cb c JOIN cn ON cn.symbol = c.symbol AND cn.bar_idx = c.bar_idx ASOF LEFT JOIN (SELECT DISTINCT * FROM nw) f ON c.symbol = f.symbol AND c.o < f.t ASOF LEFT JOIN (SELECT DISTINCT * FROM nw) l ON c.symbol = l.symbol AND c.o >= l.t"""
 )
 def i4_news(spark, sf):
+    some = read(spark, sf, "events").filter("event_id % 4 = 0").select(F.col("event_type").alias("symbol"), "ts")
+    return _news(spark, sf, calendar(spark, sf).join(some, ["symbol", "ts"], "left_semi"))
+
+
+@query()
+def i4_news_all(spark, sf):
+    """Over all events; the SQL of i4_news has every fourth."""
+    return _news(spark, sf, calendar(spark, sf))
+
+
+def _news(spark, sf, e):
     b = hourly(spark, sf).withColumn("open_s", F.unix_timestamp("time"))
-    e = calendar(spark, sf).join(read(spark, sf, "events").filter("event_id % 4 = 0").select(F.col("event_type").alias("symbol"), "ts"), ["symbol", "ts"], "left_semi")
     out = features.news_features(b, e.withColumn("surprise", F.col("actual") - F.col("forecast")), ["symbol"])
     return rounded(out.select("symbol", "bar_idx", "news_minutes_to_next", "news_minutes_since_last", "news_count_24h"), 2)
 
@@ -471,8 +512,9 @@ def i4_news(spark, sf):
 TESTER = backtest.Tester(commission=3.5, slippage_points=2, swap_long=-1.5, swap_short=0.5, max_positions=1)
 
 
-def _backtest(spark, sf, tester=TESTER):
-    b = asof.align_spread(hourly(spark, sf), _spread_table(spark, sf), 30.0, ["symbol"])
+def _backtest(spark, sf, tester=TESTER, whole=True):
+    """whole: all events, as in every query but the one whose SQL has a part of them."""
+    b = asof.align_spread(hourly(spark, sf), _spread_table(spark, sf, whole), 30.0, ["symbol"])
     signals = hits(indicators(spark, sf)).filter("cond_id < 6").select("symbol", F.col("cond_id").alias("ea_id"), "direction", "bar_idx")
     return backtest.backtest(signals, b, 6, tester), b
 
@@ -487,7 +529,7 @@ _BT = f"""{full_sql()}, {_SPREAD}, sg AS (SELECT symbol, cond_id AS ea_id, direc
 
 @query(f"WITH RECURSIVE {_BT} SELECT symbol, ea_id, direction, entry_idx, exit_idx, (nights * (CASE WHEN direction = 'long' THEN -1.5 ELSE 0.5 END))::DOUBLE + 0.0::DOUBLE AS swap, floor(entry_price + 0.003) AS entry_price FROM bt1")
 def m6_backtest(spark, sf):
-    t = _backtest(spark, sf)[0]
+    t = _backtest(spark, sf, whole=False)[0]
     return t.select("symbol", "ea_id", "direction", "entry_idx", "exit_idx", (F.col("swap") + 0.0).alias("swap"), F.floor(F.col("entry_price") + 0.003).cast("double").alias("entry_price"))
 
 
