@@ -5,7 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 from tidemark.plans import queries as plans
-from tidemark.plans.base import hourly
+from tidemark.plans.base import CONDITIONS, hits, hourly, indicators
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +64,15 @@ def test_backtests_without_sql_have_spreads_of_all_events(spark):
     _, b = plans._backtest(spark, SF)
     got = {(r["symbol"], r["bar_idx"]): r["spread"] for r in b.select("symbol", "bar_idx", "spread").collect()}
     assert got == {(r["symbol"], r["bar_idx"]): r["spread"] for r in plans.QUERIES["j9_spread_all"](spark, SF).collect()}
+
+
+def test_backtests_and_positions_are_of_all_conditions(spark):
+    every = {r["cond_id"] for r in hits(indicators(spark, SF)).filter("bar_idx + 7 < n").select("cond_id").distinct().collect()}
+    assert max(every) > 5
+    for name in ("m6_backtest_all", "m6_three_positions", "a23_a25_backtest_summary", "streaming_positions"):
+        assert {r["ea_id"] for r in plans.QUERIES[name](spark, SF).select("ea_id").distinct().collect()} >= every, name
+
+
+def test_sensitivity_is_of_all_conditions(spark):
+    assert {r["cond_id"] for r in plans.QUERIES["v5_sensitivity_all"](spark, SF).select("cond_id").distinct().collect()} - set(range(5)) >= {8, 9}
+    assert len(CONDITIONS) == 14

@@ -424,6 +424,13 @@ def v5_sensitivity(spark, sf):
     return rounded(validate.sensitivity(lambda cs: hits(b, cs), _BASES, 15, H), 4)
 
 
+@query()
+def v5_sensitivity_all(spark, sf):
+    """Of all conditions; the SQL of v5_sensitivity has five."""
+    b = full_bars(spark, sf)
+    return rounded(validate.sensitivity(lambda cs: hits(b, cs), CONDITIONS, 15, H), 4)
+
+
 SHIFTS = [11, 17, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67, 71, 73, 79, 83, 89, 97, 101]
 
 
@@ -513,9 +520,9 @@ TESTER = backtest.Tester(commission=3.5, slippage_points=2, swap_long=-1.5, swap
 
 
 def _backtest(spark, sf, tester=TESTER, whole=True):
-    """whole: all events, as in every query but the one whose SQL has a part of them."""
+    """whole: all events and conditions, as in every query but the one whose SQL has a part of them."""
     b = asof.align_spread(hourly(spark, sf), _spread_table(spark, sf, whole), 30.0, ["symbol"])
-    signals = hits(indicators(spark, sf)).filter("cond_id < 6").select("symbol", F.col("cond_id").alias("ea_id"), "direction", "bar_idx")
+    signals = hits(indicators(spark, sf)).filter("true" if whole else "cond_id < 6").select("symbol", F.col("cond_id").alias("ea_id"), "direction", "bar_idx")
     return backtest.backtest(signals, b, 6, tester), b
 
 
@@ -529,7 +536,16 @@ _BT = f"""{full_sql()}, {_SPREAD}, sg AS (SELECT symbol, cond_id AS ea_id, direc
 
 @query(f"WITH RECURSIVE {_BT} SELECT symbol, ea_id, direction, entry_idx, exit_idx, (nights * (CASE WHEN direction = 'long' THEN -1.5 ELSE 0.5 END))::DOUBLE + 0.0::DOUBLE AS swap, floor(entry_price + 0.003) AS entry_price FROM bt1")
 def m6_backtest(spark, sf):
-    t = _backtest(spark, sf, whole=False)[0]
+    return _entries(_backtest(spark, sf, whole=False)[0])
+
+
+@query()
+def m6_backtest_all(spark, sf):
+    """Over all events and conditions; the SQL of m6_backtest has every third event and six conditions."""
+    return _entries(_backtest(spark, sf)[0])
+
+
+def _entries(t):
     return t.select("symbol", "ea_id", "direction", "entry_idx", "exit_idx", (F.col("swap") + 0.0).alias("swap"), F.floor(F.col("entry_price") + 0.003).cast("double").alias("entry_price"))
 
 
@@ -682,7 +698,7 @@ def streaming_bars(spark, sf):
 
 @query()
 def streaming_positions(spark, sf):
-    return open_positions(hits(indicators(spark, sf)).filter("cond_id < 4").select("symbol", F.col("cond_id").cast("int").alias("ea_id"), "bar_idx"), 5)
+    return open_positions(hits(indicators(spark, sf)).select("symbol", F.col("cond_id").cast("int").alias("ea_id"), "bar_idx"), 5)
 
 
 @query()
@@ -690,5 +706,5 @@ def x3_research_run(spark, sf):
     from .research import Config, research
 
     config = Config(max_horizon=4, alpha=0.5, min_freq_per_year=1, wf_train_bars=40, wf_test_bars=20, wf_step_bars=20, permutation_n=20, permutation_random_state=1, costs=simulate.Costs(0.01), pip_value=0.01, min_precheck_expectancy_r=-10.0)
-    edges = research(indicators(spark, sf), config, CONDITIONS[:6]).edges
+    edges = research(indicators(spark, sf), config, CONDITIONS).edges
     return rounded(edges.select("symbol", "condition", "direction", "best_horizon", "n_trades", "expectancy_r", "permutation_p", "sensitivity", "gate_passed", F.array_join("reasons", "; ").alias("reasons")))
