@@ -131,8 +131,8 @@ def market(spark, n=12, spread=None):
 
 def trade(spark, df, at, hold, direction="long", **options):
     s = spark.createDataFrame([("X", 1, direction, int(i)) for i in at], "symbol string, ea_id int, direction string, bar_idx long")
-    first, end = options.pop("first", 0), options.pop("end", None)
-    return backtest.backtest(s, df, hold, backtest.Tester(**options), first, end).orderBy("entry_idx").collect()
+    start, end = options.pop("start", None), options.pop("end", None)
+    return backtest.backtest(s, df, hold, backtest.Tester(**options), start, end).orderBy("entry_idx").collect()
 
 
 def test_backtest_cases(spark):
@@ -147,7 +147,7 @@ def test_backtest_cases(spark):
     small = market(spark, 8)
     assert trade(spark, small, [1], 3, exit_offset=1)[0]["exit_idx"] == 6
     assert trade(spark, small, [5], 3) == [] and trade(spark, small, [5], 3, close_at_end=True)[0]["exit_idx"] == 7
-    assert [t["entry_idx"] for t in trade(spark, df, [1, 3], 2, first=3, end=8)] == [4]
+    assert [t["entry_idx"] for t in trade(spark, df, [1, 3], 2, start="2024-01-02 00:15:00", end="2024-01-02 00:35:00")] == [4]
     (t,) = trade(spark, df, [1], 3, commission=3.5, slippage_points=10)
     assert (round(t["entry_price"], 2), round(t["exit_price"], 2), t["commission"]) == (2002.40, 2004.90, -7.0)
 
@@ -161,6 +161,8 @@ def test_equity_and_drawdown(spark):
     assert round(curve[3]["equity"], 6) == 10_070 and curve[4]["balance"] == 10_000 and round(curve[5]["balance"], 6) == 10_270
     assert round(backtest.drawdown(backtest.curves(t, df, tester)).first()["max_dd"], 6) == 30.0
     one = backtest.summary(t).first()
+    whole = backtest.full_summary(t, backtest.curves(t, df, tester), s.unionByName(s.withColumn("ea_id", F.lit(2))), tester).orderBy("ea_id").collect()
+    assert [(r["ea_id"], r["n_trades"], round(r["final_balance"], 6)) for r in whole] == [(1, 1, 10_270.0), (2, 0, 10_000.0)] and round(whole[0]["recovery_factor"], 6) == 9.0
     assert one["n_trades"] == 1 and one["max_consec_wins"] == 1 and one["max_consec_losses"] == 0
 
 
@@ -194,9 +196,9 @@ def test_calendar_scenario(spark):
     got = {opens[r["bar_idx"]]: r for r in asof.calendar_features(df, feed, 1800, ["symbol"], asof.CalendarOptions(impact_max_age=60)).collect()}
     assert got["12:00"]["cal_min_to_next_high"] == 60 and got["12:00"]["cal_min_since_last_high"] == 1440
     r = got["13:00"]
-    assert (r["cal_min_to_next_high"], r["cal_high_in_bar"], r["cal_high_next_bar"], r["cal_last_impact"]) == (0, 0, 1, 0)
-    assert (got["13:30"]["cal_high_in_bar"], got["13:30"]["cal_min_since_last_high"], got["13:30"]["cal_last_impact"]) == (1, 30, -1)
-    assert got["15:00"]["cal_min_to_next_medplus"] == 30 and got["15:00"]["cal_min_to_next_high"] == 1440 and got["17:00"]["cal_last_impact"] == 0
+    assert (r["cal_min_to_next_high"], r["cal_high_in_bar"], r["cal_high_next_bar"], r["cal_last_impact_sym"]) == (0, 0, 1, 0)
+    assert (got["13:30"]["cal_high_in_bar"], got["13:30"]["cal_min_since_last_high"], got["13:30"]["cal_last_impact_sym"]) == (1, 30, -1)
+    assert got["15:00"]["cal_min_to_next_medplus"] == 30 and got["15:00"]["cal_min_to_next_high"] == 1440 and got["17:00"]["cal_last_impact_sym"] == 0
     far = spark.createDataFrame([("X", 0, secs[0] - 10**7)], "symbol string, bar_idx long, open_s long")
     assert asof.calendar_features(far, feed, 1800, ["symbol"]).first()["cal_min_to_next_high"] is None
 
@@ -212,7 +214,7 @@ def test_news_repairs(spark):
     df = make(spark, {c: [r[k] for r in rows] for k, c in enumerate(files.NEWS)}).withColumn("timeframe", F.lit("M30"))
     out = [tuple(r[c] for c in files.NEWS) for r in files.sanitize_news(df).orderBy("bar_idx").collect()]
     assert out == [(120, 3, 600, 3, 5, 0, 2), (0, 3, None, None, None, 1, 2), (None,) * 7, (None,) * 7]
-    assert files.sanitize_news(df.filter("bar_idx > 1")).filter("bar_idx = 2").first()["news_minutes_to_next"] == 9000
+    assert files.sanitize_news(df.filter("bar_idx > 1")).filter("bar_idx = 2").first()["news_min_to_next"] == 9000
 
 
 def test_windows_and_stability(spark):
@@ -269,15 +271,80 @@ def test_gate(spark):
     assert [r["reasons"] for r in out] == [[], ["too few trades"], ["expectancy not positive"], ["permutation test"]]
 
 
+RANKED = "edge_id int, window_label string, condition string, direction string, holding int, n_trades long, test_exp double, train_exp double, profit_factor double, test_passed boolean, sensitivity double"
+
+
 def test_ranking_similarity(spark):
-    texts = [("rsi_14 < 30 AND atr_14 > 5", 10), ("rsi_14 < 25 AND atr_14 > 5", 10), ("rsi_14 < 10 AND atr_14 > 5", 10), ("rsi_14 > 30 AND atr_14 > 5", 10), ("rsi_14 < 30 AND atr_14 > 5", 40)]
-    rows = [(i, "w", t, "long", h, 40, 0.2, 0.2, 2.0, True) for i, (t, h) in enumerate(texts)]
-    df = spark.createDataFrame(rows, "edge_id int, window_label string, condition string, direction string, holding int, n_trades long, test_exp double, train_exp double, profit_factor double, test_passed boolean")
-    ranked = rank.score(rank.plateau(rank.with_atoms(rank.normalise(df))))
-    assert {r["edge_id"]: r["neighbours"] for r in ranked.collect()} == {0: 1, 1: 1, 2: 0, 3: 0, 4: 0}
-    assert sorted(r["edge_id"] for r in rank.dedupe(ranked).collect()) == [0, 2, 3, 4]
-    keys = [r["label"] for r in spark.createDataFrame([("w10",), ("w9",), ("w1",)], "label string").orderBy(rank.natural_key(F.col("label"))).collect()]
-    assert keys == ["w1", "w9", "w10"]
+    texts = [("rsi_14 < 30 AND atr_14 > 5", 10), ("atr_14 > 5 AND rsi_14 < 21.5", 12), ("rsi_14 < 20 AND atr_14 > 5", 10), ("rsi_14 > 30 AND atr_14 > 5", 10), ("rsi_14 < 30 AND atr_14 > 5", 40), ("rsi_14 < 30", 10)]
+    rows = [(i, "w", t, "long", h, 40 + i, 0.2, 0.2, 2.0, True, 0.9) for i, (t, h) in enumerate(texts)]
+    df = spark.createDataFrame(rows, RANKED)
+    ranked = {r["edge_id"]: r for r in rank.rank_window(df, rank.Ranking(sort_dedupe=False)).collect()}
+    # 21.5 is within 30 % of 30 and 20 of 21.5; 20 is not within 30 % of 30. 12 bars are within 2 of 10.
+    assert {k: r["neighbours"] for k, r in ranked.items()} == {0: 1, 1: 2, 2: 1, 3: 0, 4: 0, 5: 0}
+    # All good and alike: the plateau is whole. 100 x (.25 x .5 + .15 x .4 + .15 x log10(41 / 20) + .25 + .2)
+    assert ranked[1]["plateau"] == 1 and abs(ranked[1]["score"] - 100 * (0.125 + 0.06 + 0.15 * math.log10(41 / 20) + 0.45)) < 1e-9
+    assert ranked[1]["warnings"] == [] and ranked[3]["warnings"] == ["no_plateau"]
+    out = {r["edge_id"]: r for r in rank.rank_window(df).collect()}
+    # In score order 2 (the most trades of the three), then 1 falls to it, and 0 stays, as only 1 is near it.
+    assert sorted(out) == [0, 2, 3, 4, 5] and out[2]["similar"] == ["atr_14 > 5 AND rsi_14 < 21.5"]
+
+
+def test_ranking_by_hand(spark):
+    rows = [
+        (0, "w", "a < 1", "long", 5, 25, 0.1, 0.2, math.inf, False, None), (1, "w", "a < 1.2", "long", 5, 10, -0.1, 0.3, 1.0, True, 0.8),
+        (2, "w", "b < 1", "short", 5, 0, 0.0, 0.0, None, True, 0.8), (3, "w", "c < 1 AND d > 2", "long", 5, 25, 0.1, 0.2, 2.0, True, 0.8),
+    ]
+    out = {r["edge_id"]: r for r in rank.rank_window(spark.createDataFrame(rows, RANKED), rank.Ranking(sort_dedupe=False)).collect()}
+    # 3 has the trades and expectancy of 0 and more atoms: one row. 2 has no trades. 0 and 1 are neighbours, of which one is good.
+    assert sorted(out) == [0, 1] and out[0]["same_as"] == ["c < 1 AND d > 2"]
+    plateau = 0.5 * (1 - 4.5 / 5.5)
+    assert abs(out[0]["plateau"] - plateau) < 1e-12 and out[0]["stability"] == 0.5
+    assert abs(out[0]["score"] - 100 * (0.25 + 0.15 * 0.2 + 0.15 * math.log10(1.25) + 0.25 * plateau + 0.2 * 0.5)) < 1e-9
+    assert out[0]["warnings"] == ["low_sensitivity", "no_plateau", "test_failed"] and out[1]["warnings"] == ["low_frequency", "low_pf", "no_plateau"]
+    single = rank.rank_window(spark.createDataFrame(rows, RANKED), rank.Ranking(drop_below_floor=True), single_run=True).collect()
+    assert [(r["edge_id"], r["warnings"]) for r in single] == [(0, ["no_plateau", "gate_failed"])]
+    parts = (0.25 + 0.15 * 0.2 + 0.15 * math.log10(1.25) + 0.25 * plateau) / 0.8
+    assert abs(single[0]["score"] - 100 * parts) < 1e-9
+
+
+def test_ranking_over_windows(spark):
+    rows = [
+        (0, "w1", "a < 1", "long", 5, 100, 0.2, 0.2, 2.0, True, 0.8), (1, "w2", "a < 1", "long", 6, 50, 0.5, 0.2, 1.0, True, None), (2, "w3", "a < 1", "long", 6, 10, None, 0.2, None, True, None),
+        (3, "w4", "b < 1", "long", 5, 30, -0.2, 0.2, 3.0, True, 0.8),
+    ]
+    out = {r["condition"]: r for r in rank.rank_timeframe(spark.createDataFrame(rows, RANKED)).collect()}
+    a = out["a < 1"]
+    assert (a["n_trades"], a["holding"], a["n_windows"], a["windows_passed"], a["consistency"]) == (160, 6, 3, 1, 0.25)
+    assert abs(a["profit_factor"] - (2 * 100 + 50) / 150) < 1e-12 and abs(a["test_exp"] - (20 + 25) / 150) < 1e-12
+    assert a["warnings"] == ["no_plateau", "few_windows"] and out["b < 1"]["warnings"] == ["low_frequency", "no_plateau", "few_windows", "non_positive_expectancy"]
+    settings = rank.Ranking.of({"ranker_min_pf": "1.5", "ranker_sort_top_n": 1.0, "other": 3})
+    assert settings.min_pf == 1.5 and settings.sort_top_n == 1 and rank.Ranking.of(None) == rank.Ranking()
+    keys = [r["label"] for r in spark.createDataFrame([("w10",), ("w9",), ("w1",), ("w12345678901234567890",), ("w012",)], "label string").orderBy(rank.natural_key(F.col("label"))).collect()]
+    assert keys == ["w1", "w9", "w10", "w012", "w12345678901234567890"]
+
+
+def test_rotation_shifts_by_symbol(spark):
+    df = outcomes.with_forward(make(spark, {"open": range(40), "close": [i * 7 % 40 for i in range(40)]}), 2)
+    both = df.unionByName(df.withColumn("symbol", F.lit("Y")))
+    got = validate.rotation_test(signals(spark, both, [1, 5, 9]).unionByName(signals(spark, df, [2]).withColumn("cond_id", F.lit(9))), both, {"X": [3, 4]})
+    assert {r["symbol"] for r in got.collect()} == {"X"}
+
+
+def test_signals_that_do_not_trade(spark):
+    df = make(spark, {"open": [2000.0, 2001, 2002, None, 2004, 2005, 2006, 2007], "spread": [30] * 8}, hours=1 / 12)
+    s = spark.createDataFrame([("X", 1, "long", i) for i in (1, 2, 3, 4, 6)], "symbol string, ea_id int, direction string, bar_idx long")
+    fates = {r["entry_idx"]: r["fate"] for r in backtest.signal_fates(s, df, 2).collect()}
+    # Bar 3 has no price: it blocks nothing, so that 4 is taken and 5 is busy until 6; 7 ends behind the data.
+    assert fates == {2: "taken", 3: "busy", 4: "busy", 5: "taken", 7: "busy"}
+    fates = {r["entry_idx"]: r["fate"] for r in backtest.signal_fates(s.filter("bar_idx > 1"), df, 2).collect()}
+    assert fates == {3: "no_price", 4: "taken", 5: "busy", 7: "open_end"}
+    assert tuple(backtest.signal_counts(backtest.signal_fates(s, df, 2)).first())[2:] == (5, 3, 0)
+
+
+def test_erfc_to_many_digits(spark):
+    xs = [k / 16 for k in range(-80, 160)] + [0.46875, 4.0, float("nan")]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", stats.erfc(F.col("x")).alias("y")).collect()
+    assert all(r["y"] is None if r["x"] != r["x"] else abs(r["y"] - math.erfc(r["x"])) <= 1e-12 * math.erfc(r["x"]) for r in rows)
 
 
 def test_features_have_warm_up(spark):

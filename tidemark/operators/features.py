@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import NEWS
 from .predicates import by_bar
 
 
@@ -63,27 +64,26 @@ def price_structure(bars: DataFrame, digits: int | None = None, gap_atr: float =
     )
 
 
-def news_features(bars: DataFrame, events: DataFrame, by: list[str], window_minutes: int = 30) -> DataFrame:
-    """The seven news_ columns from events (t, importance, surprise): here an event at the reference time is the last one.
+def news_features(bars: DataFrame, events: DataFrame, by: list[str], window_minutes: int = 30, seconds: int = 0) -> DataFrame:
+    """The seven news_ columns from events (t, importance, surprise): an event at the reference time is the last one.
 
-    bars: open_s, the reference in epoch seconds. One sorted pass over the union; the count of the
-    next 24 hours is a range frame on the same order."""
+    The reference is the bar's close, open_s (epoch seconds) and `seconds` of the bar. One shuffle of
+    the union, running values in both directions, and two running counts for the next 24 hours. Of events
+    of one time the one with the greatest importance, then surprise, counts."""
     e = F.struct("t", "importance", "surprise")
-    b = bars.withColumn("_t", F.col("open_s")).withColumn("_kind", F.lit(1))
+    b = bars.withColumn("_t", F.col("open_s") + seconds).withColumn("_kind", F.lit(1))
     ev = events.select(*by, F.col("t").alias("_t"), F.lit(0).alias("_kind"), e.alias("_e"))
-    u = b.unionByName(ev, allowMissingColumns=True)
-    order = Window.partitionBy(*by).orderBy("_t", "_kind")
-    u = u.withColumns(
+    part = Window.partitionBy(*by)
+    running = lambda *order: F.last("_e", ignorenulls=True).over(part.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    u = b.unionByName(ev, allowMissingColumns=True).withColumns(
         {
-            "_last": F.last("_e", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-            "_next": F.first("_e", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
-            "_n": F.count("_e").over(Window.partitionBy(*by).orderBy("_t").rangeBetween(1, 86_400)),
+            "_last": running("_t", "_kind", "_e"),
+            "_next": running(F.col("_t").desc(), F.col("_kind").desc(), F.col("_e")),
+            "_n": F.count("_e").over(part.orderBy("_t").rangeBetween(Window.unboundedPreceding, 86_400)) - F.count("_e").over(part.orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)),
         }
     ).filter("_kind = 1")
-    to, since = (F.col("_next.t") - F.col("open_s")) / 60, (F.col("open_s") - F.col("_last.t")) / 60
+    to, since = (F.col("_next.t") - F.col("_t")) / 60, (F.col("_t") - F.col("_last.t")) / 60
     f = lambda x: x.cast("float")
     inside = F.coalesce(to <= window_minutes, F.lit(False)) | F.coalesce(since <= window_minutes, F.lit(False))
-    return u.select(
-        *bars.columns, f(to).alias("news_minutes_to_next"), f(F.col("_next.importance")).alias("news_next_importance"), f(since).alias("news_minutes_since_last"),
-        f(F.col("_last.importance")).alias("news_last_importance"), f(F.col("_last.surprise")).alias("news_last_surprise"), f(inside.cast("int")).alias("news_in_window"), f(F.col("_n")).alias("news_count_24h"),
-    )
+    values = [to, F.col("_next.importance"), since, F.col("_last.importance"), F.col("_last.surprise"), inside.cast("int"), F.col("_n")]
+    return u.select(*bars.columns, *[f(x).alias(c) for c, x in zip(NEWS, values)])

@@ -13,7 +13,7 @@ from .predicates import Atom, Condition
 # Default thresholds by family.
 THRESHOLDS = {
     "rsi": [30, 70], "cci": [-100, 100], "mom": [0], "stoch": [20, 80], "volregime_pctl": [20, 30, 70, 80], "volregime_ratio": [0.8, 1.0, 1.2],
-    "ps_dist": [-2, -1, -0.5, 0.5, 1, 2], "ps_gap": [-1, -0.5, 0.5, 1], "ps_fill": [25, 50, 75], "calendar_minutes": [15, 30, 60], "calendar_surprise": [1, 2], "news_count": [0, 1, 2],
+    "ps_dist": [-2, -1, -0.5, 0.5, 1, 2], "ps_gap": [-1, -0.5, 0.5, 1], "ps_fill": [25, 50, 75], "calendar_minutes": [15, 30, 60, 120, 240], "calendar_surprise": [0.5, 1, 2], "news_count": [0, 1, 2],
 }
 
 
@@ -38,11 +38,11 @@ def atoms(columns: Sequence[str], thresholds: dict | None = None, levels: dict[s
     both(only("ps_gap_fill_pct"), t["ps_fill"], (">",))
     both(named("cal_min_"), t["calendar_minutes"], ("<",))
     both([c for c in named("cal_") if c.endswith(("_in_bar", "_next_bar"))], [1], ("==",))
-    both(only("cal_last_impact"), [-1, 1], ("==",))
-    both(only("cal_last_surprise"), t["calendar_surprise"], (">",))
-    both([c for c in named("news_minutes_")], t["calendar_minutes"], ("<",))
+    both(only("cal_last_impact_sym"), [1, -1], ("==",))
+    both(only("cal_last_surprise_absz"), t["calendar_surprise"], (">",))
+    both(only("news_min_to_next") + only("news_min_since_last"), t["calendar_minutes"], ("<",))
     both(only("news_in_window"), [1], ("==",))
-    both(only("news_count_24h"), t["news_count"], (">",))
+    both(only("news_count_next_24h"), t["news_count"], (">",))
     for c, seen in (levels or {}).items():
         if len(seen) > 1:
             both(only(c), sorted(seen), ("==",))

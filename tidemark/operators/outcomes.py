@@ -49,7 +49,7 @@ def significance(prof: DataFrame, base: DataFrame, alpha: float = 0.05, method:
     k = F.floor(F.col("prob_bull").cast("float") * F.col("n").cast("float")) if truncate else F.col("n_bull")
     low, high = wilson(k, F.col("n"))
     df = df.select("*", z_score(k, F.col("n"), F.col("base_prob")).alias("z"), low.alias("ci_low"), high.alias("ci_high"))
-    df = df.withColumn("p_value", two_sided_p("z")).withColumn("effect_size", F.col("prob_bull") - F.col("base_prob"))
+    df = df.withColumn("p_value", two_sided_p(F.col("z"))).withColumn("effect_size", F.col("prob_bull") - F.col("base_prob"))
     df = adjust_p(df, "p_value", method=method, keys=("symbol",))
     return df.withColumn("significant", F.coalesce(F.col("p_adj") < alpha, F.lit(False)))
 

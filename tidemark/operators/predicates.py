@@ -52,14 +52,14 @@ def parse_condition(text: str) -> Condition:
     """`a < 1.5 AND b > c`; a threshold that is no number names a column."""
     atoms = []
     for part in text.split(" AND "):
-        m = re.fullmatch(r"\s*(\S+)\s+(\S+)\s+(.+?)\s*", part)
-        if not m:
+        words = part.split(None, 2)
+        if len(words) < 3:
             raise ValueError(f"no condition: {part!r}")
+        column, op, threshold = words[0], words[1], words[2].rstrip()
         try:
-            threshold: float | str = float(m[3])
+            atoms.append(Atom(column, op, float(threshold)))
         except ValueError:
-            threshold = m[3]
-        atoms.append(Atom(m[1], m[2], threshold))
+            atoms.append(Atom(column, op, threshold))
     return Condition(tuple(atoms))
 
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import fold_sorted, greedy
 from .predicates import by_bar
 
 
@@ -79,23 +80,25 @@ def simulate(hits: DataFrame, bars: DataFrame, costs: Costs, hold: int, clip: bo
 def trade_stats(trades: DataFrame, keys: tuple[str, ...] = ("symbol", "cond_id")) -> DataFrame:
     """Counts, rates, expectancies, profit factor (infinite without a loss) and drawdown of each condition's trades.
 
-    The drawdown's peak starts at the first trade's equity."""
+    The mean win is 0 without wins, the mean loss 0 without losses. The drawdown's peak starts at
+    the first trade's equity."""
     w = Window.partitionBy(*keys).orderBy("bar_idx")
     equity = F.sum("pnl").over(w.rowsBetween(Window.unboundedPreceding, 0))
     df = trades.withColumn("_e", equity)
     df = df.withColumn("_dd", F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_e"))
     won = F.col("pnl") > 0
-    gain, loss = F.coalesce(F.sum(F.when(won, F.col("pnl"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~won, -F.col("pnl"))), F.lit(0.0))
+    zero = F.lit(0.0)
+    gain, loss = F.coalesce(F.sum(F.when(won, F.col("pnl"))), zero), F.coalesce(F.sum(F.when(~won, -F.col("pnl"))), zero)
     return df.groupBy(*keys).agg(
         F.count("*").alias("n_trades"),
         F.count_if(won).alias("wins"),
         F.count_if(F.col("outcome") == "timeout").alias("timeouts"),
         F.avg(won.cast("double")).alias("win_rate"),
-        F.avg(F.when(won, F.col("pnl"))).alias("avg_win"),
-        F.avg(F.when(~won, F.col("pnl"))).alias("avg_loss"),
+        F.coalesce(F.avg(F.when(won, F.col("pnl"))), zero).alias("avg_win"),
+        F.coalesce(F.avg(F.when(~won, F.col("pnl"))), zero).alias("avg_loss"),
         F.avg("pnl").alias("expectancy"),
         F.avg("r").alias("expectancy_r"),
-        F.when(loss > 0, gain / F.nullif(loss, F.lit(0.0))).when(gain > 0, F.lit(float("inf"))).otherwise(F.lit(0.0)).alias("profit_factor"),
+        F.when(loss > 0, gain / F.nullif(loss, zero)).otherwise(F.lit(float("inf"))).alias("profit_factor"),
         F.max("_dd").alias("max_drawdown"),
     )
 
@@ -103,13 +106,15 @@ def trade_stats(trades: DataFrame, keys: tuple[str, ...] = ("symbol", "cond_id")
 def horizon_scan(hits: DataFrame, bars: DataFrame, costs: Costs, first: int, last: int) -> DataFrame:
     """symbol, cond_id, horizon, n_trades, mean_r, std_r, score by horizon; trades that would end behind the data are left out.
 
-    Triggers times horizons are joined to their exit bars, so the plan does not grow with the horizons."""
-    trades = hits.filter(F.col("atr").isNotNull()).select("*", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("horizon"))
-    trades = trades.withColumn("exit_idx", F.col("bar_idx") + 1 + F.col("horizon")).filter("exit_idx < n")
-    exits = bars.select("symbol", F.col("bar_idx").alias("exit_idx"), F.col("close").cast("double").alias("exit"))
+    A bar's row has its exits of all horizons in one array, cut at the end of the data. Triggers
+    meet it once, and horizons are unfolded behind the join, where they are combined at once."""
+    ahead = by_bar().rowsBetween(1 + first, 1 + last)
+    exits = bars.select("symbol", "bar_idx", F.collect_list(F.struct(F.col("close").cast("double").alias("exit"))).over(ahead).alias("_exits"))
     half = (costs.spread_at(F.col("atr"), F.col("entry_hour")) + costs.slippage) / 2
-    r = (_sign() * (F.col("exit") - F.col("entry")) - 2 * half) / F.col("atr")
-    out = trades.join(exits, ["symbol", "exit_idx"]).groupBy("symbol", "cond_id", "horizon").agg(F.count("*").alias("n_trades"), F.avg(r).alias("mean_r"), F.stddev_samp(r).alias("std_r"))
+    r = (_sign() * (F.col("x.exit") - F.col("entry")) - 2 * half) / F.col("atr")
+    needed = hits.filter(F.col("atr").isNotNull()).select("symbol", "cond_id", "direction", "bar_idx", "entry", "atr", "entry_hour")
+    trades = needed.join(exits, ["symbol", "bar_idx"]).select("*", F.posexplode("_exits").alias("_k", "x"))
+    out = trades.groupBy("symbol", "cond_id", (F.col("_k") + first).alias("horizon")).agg(F.count("*").alias("n_trades"), F.avg(r).alias("mean_r"), F.stddev_samp(r).alias("std_r"))
     return out.withColumn("score", F.col("mean_r") / F.nullif(F.col("std_r") / F.sqrt("n_trades"), F.lit(0.0)))
 
 
@@ -135,17 +140,8 @@ def open_price_trades(hits: DataFrame, bars: DataFrame, costs: Costs, hold: int)
 def one_at_a_time(trades: DataFrame, hold: int, reenter: bool = False, keys: tuple[str, ...] = ("symbol", "cond_id")) -> DataFrame:
     """Greedy choice of trades that never overlap: the next entry is hold (+1 unless reenter) bars after the last one at the earliest.
 
-    A fold over each condition's entries, in the JVM. A condition's entries are one array: at most
-    one for each bar of a symbol."""
-    gap = hold + (0 if reenter else 1)
-    state = F.struct(F.lit(-(10**9)).cast("long").alias("free"), F.array().cast("array<bigint>").alias("taken"))
-
-    def step(s, i):
-        take = i >= s["free"]
-        return F.struct(F.when(take, i + gap).otherwise(s["free"]).alias("free"), F.when(take, F.array_append(s["taken"], i)).otherwise(s["taken"]).alias("taken"))
-
-    chosen = trades.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("bar_idx").cast("long"))).alias("_i"))
-    chosen = chosen.select(*keys, F.explode(F.aggregate("_i", state, step, lambda s: s["taken"])).alias("bar_idx"))
+    A fold over each condition's entries in order, whose state is the first free bar."""
+    chosen = fold_sorted(trades.select(*keys, F.col("bar_idx").cast("long").alias("bar_idx")), keys, "bar_idx", *greedy(hold + (0 if reenter else 1)), "bar_idx long")
     return trades.join(chosen, [*keys, "bar_idx"], "left_semi")
 
 
@@ -163,6 +159,7 @@ def cost_expectancy(hits: DataFrame, bars: DataFrame, horizon: int, last_horizon
 
 
 def cost_prefilter(costed: DataFrame, min_r: float = 0.0) -> DataFrame:
-    """Add passes and reason; a missing expectancy does not pass."""
-    ok = F.coalesce(F.col("expectancy_r") >= min_r, F.lit(False))
-    return costed.withColumn("passes", ok).withColumn("reason", F.when(ok, "ok").when(F.col("expectancy_r").isNull(), "no expectancy").otherwise("expectancy below the minimum"))
+    """Add passes and reason; an expectancy that is missing or infinite does not pass."""
+    finite = F.coalesce(F.abs("expectancy_r") < float("inf"), F.lit(False))
+    ok = F.coalesce(finite & (F.col("expectancy_r") >= min_r), F.lit(False))
+    return costed.withColumn("passes", ok).withColumn("reason", F.when(ok, "ok").when(~finite, "no expectancy").otherwise("expectancy below the minimum"))

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .outcomes import profile
@@ -56,12 +57,19 @@ def with_regimes(bars: DataFrame, adx_threshold: float = 25.0, low: float = 0.25
     return bars.withColumn("regimes", F.array_compact(F.array(trend, vol))).drop("_lo", "_hi")
 
 
+#: Regimes that compete, in the order in which the first wins a tie.
+REGIMES = ("trending", "ranging", "high_vol", "low_vol")
+
+
 def regime_stress(hits: DataFrame, horizons: int, least: int = 10) -> DataFrame:
-    """n and mean probability over horizons by regime; most_robust marks the best with enough triggers, the first on a tie."""
-    rows = hits.filter("valid").select("symbol", "cond_id", F.explode("regimes").alias("regime"), "fwd")
-    mean = F.aggregate("fwd", F.lit(0), lambda a, x: a + x) / horizons
-    out = rows.groupBy("symbol", "cond_id", "regime").agg(F.count("*").alias("n"), F.avg(mean).alias("mean_prob"))
-    best = out.filter(F.col("n") >= least).groupBy("symbol", "cond_id").agg(F.max_by("regime", F.struct("mean_prob", "regime")).alias("_best"))
+    """n and mean probability over horizons by regime; most_robust marks the best of the four with enough triggers, the first on a tie.
+
+    A mean over whole numbers: one sum and one division, the same in any order of rows."""
+    names = F.array(*map(F.lit, REGIMES))
+    rows = hits.filter("valid").select("symbol", "cond_id", F.explode(F.array_intersect("regimes", names)).alias("regime"), "fwd")
+    bulls = F.aggregate("fwd", F.lit(0), lambda a, x: a + x)
+    out = rows.groupBy("symbol", "cond_id", "regime").agg(F.count("*").alias("n"), (F.sum(bulls) / (F.count("*") * horizons)).alias("mean_prob"))
+    best = out.filter(F.col("n") >= least).groupBy("symbol", "cond_id").agg(F.max_by("regime", F.struct("mean_prob", -F.array_position(names, F.col("regime")))).alias("_best"))
     return out.join(best, ["symbol", "cond_id"], "left").withColumn("most_robust", F.coalesce(F.col("regime") == F.col("_best"), F.lit(False))).drop("_best")
 
 
@@ -97,27 +105,47 @@ def rotation_shifts(n: int, count: int, least: int, seed: int | None) -> list[in
     return np.random.default_rng(seed).integers(least, n - least, count).tolist()
 
 
-def rotation_test(hits: DataFrame, bars: DataFrame, shifts: Sequence[int], horizon: int = 1) -> DataFrame:
+#: Bars of a block in which outcomes travel.
+BLOCK_BARS = 1 << 16
+
+
+def rotation_test(hits: DataFrame, bars: DataFrame, shifts: Sequence[int] | dict[str, Sequence[int]], horizon: int = 1) -> DataFrame:
     """effect, p, mean and deviation under rotations of the outcome series against the triggers.
 
-    Triggers times shifts are joined to the outcome of bar (i - s) mod n."""
-    spark = bars.sparkSession
-    out = bars.select("symbol", "bar_idx", "n", F.get("fwd", F.lit(horizon - 1)).cast("double").alias("o"))
-    overall = out.groupBy("symbol").agg(F.avg("o").alias("all"))
-    many = spark.createDataFrame([(0,), *[(int(s),) for s in shifts]], "s long").dropDuplicates()
-    weight = {s: list(shifts).count(s) for s in set(shifts)}
-    times = spark.createDataFrame([(int(s), int(k)) for s, k in weight.items()], "s long, times long")
-    moved = hits.select("symbol", "cond_id", "bar_idx", "n").join(many).select("symbol", "cond_id", "s", F.pmod(F.col("bar_idx") - F.col("s"), F.col("n")).alias("bar_idx"))
-    effects = moved.join(out.select("symbol", "bar_idx", "o"), ["symbol", "bar_idx"]).groupBy("symbol", "cond_id", "s").agg(F.avg("o").alias("m")).join(overall, "symbol")
-    effects = effects.withColumn("e", F.col("m") - F.col("all"))
-    real = effects.filter("s = 0").select("symbol", "cond_id", F.col("e").alias("effect"))
-    null = effects.join(times, "s").join(real, ["symbol", "cond_id"])
-    t, e = F.col("times"), F.col("e")
-    mean = F.sum(e * t) / F.sum(t)
-    return null.groupBy("symbol", "cond_id", "effect").agg(
-        (F.sum(F.when(F.abs(e) >= F.abs("effect"), t).otherwise(0)) / F.sum(t)).alias("p_value"), mean.alias("null_mean"),
-        F.sqrt(F.greatest(F.lit(0.0), F.sum(e * e * t) / F.sum(t) - mean * mean)).alias("null_std"),
-    )
+    shifts: for all symbols, or by symbol (a symbol without any has no result). A symbol's outcomes
+    travel as a byte a bar to each condition that triggers on it, and the condition's triggers look
+    up all rotations there: neither triggers nor bars are multiplied by shifts. A group holds one
+    condition's triggers on one symbol, one for each bar at most."""
+    o = F.get("fwd", F.lit(horizon - 1))
+    ordered = F.array_sort(F.collect_list(F.struct("bar_idx", o.alias("o"))))
+    blocks = bars.groupBy("symbol", F.floor(F.col("bar_idx") / BLOCK_BARS).alias("block")).agg(F.array_join(F.transform(ordered, lambda x: x["o"].cast("string")), "").alias("outcomes"))
+    some = hits.select("symbol", "cond_id", "bar_idx")
+    kinds = dict(some.dtypes)
+    series = some.select("symbol", "cond_id").distinct().join(blocks, "symbol").toDF("symbol", "cond_id", "block", "outcomes")
+    series = series.select(*[F.col(c).alias(c) for c in series.columns])  # columns of its own
+    schema = f"symbol {kinds['symbol']}, cond_id {kinds['cond_id']}, effect double, p_value double, null_mean double, null_std double"
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        symbol = key[0].as_py()
+        own = np.asarray(shifts.get(symbol, ()) if isinstance(shifts, dict) else shifts, np.int64)
+        parts = dict(zip(right.column("block").to_pylist(), right.column("outcomes").to_pylist()))
+        out = np.frombuffer("".join(parts[k] for k in sorted(parts)).encode(), np.uint8) - 48
+        at, n = left.column("bar_idx").to_numpy(), len(out)
+        if not len(at) or not n or not len(own):
+            return pa.Table.from_pylist([], schema=_with_effects(left.schema))
+        bulls = np.array([int(out[(at - s) % n].sum()) for s in (0, *own)])
+        effects = bulls / len(at) - out.sum() / n
+        # Whole numbers decide what is as far from the mean as the real one.
+        far = np.abs(bulls * n - int(out.sum()) * len(at))
+        null = effects[1:]
+        row = {"effect": effects[0], "p_value": float((far[1:] >= far[0]).mean()), "null_mean": null.mean(), "null_std": null.std()}
+        return pa.Table.from_pylist([{"symbol": symbol, "cond_id": key[1].as_py(), **row}], schema=_with_effects(left.schema))
+
+    return some.groupBy("symbol", "cond_id").cogroup(series.groupBy("symbol", "cond_id")).applyInArrow(run, schema)
+
+
+def _with_effects(left: pa.Schema) -> pa.Schema:
+    return pa.schema([left.field("symbol"), left.field("cond_id"), *[(c, pa.float64()) for c in ("effect", "p_value", "null_mean", "null_std")]])
 
 
 def holdout(hits: DataFrame, share: float, horizons: int) -> DataFrame:

@@ -53,9 +53,10 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a calendar event of its own symbol."""
     e = read(spark, sf_dir, "events")
     t = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    k = F.col("event_id")
     return e.select(
-        F.col("event_type").alias("symbol"), t.alias("t"), "ts", (F.col("event_id") % 5).alias("event_id"), F.lit(1.0).alias("event_type"), (1 + F.col("event_id") % 3).cast("double").alias("importance"),
-        F.when(F.col("event_id") % 2 == 0, 1.0).otherwise(-1.0).alias("impact"), F.lit(1).alias("sign"), F.col("value").alias("actual"), (F.col("value") * 0 + 50).alias("forecast"),
+        F.col("event_type").alias("symbol"), t.alias("t"), "ts", (k % 5).alias("event_id"), F.when(k % 13 == 0, 2.0).otherwise(1.0).alias("event_type"), (1 + k % 3).cast("double").alias("importance"),
+        F.when(k % 7 == 0, 0.0).when(k % 2 == 0, 1.0).otherwise(-1.0).alias("impact"), F.lit(1).alias("sign"), F.when(k % 11 != 0, F.col("value")).alias("actual"), F.lit(50.0).alias("forecast"),
     )
 
 
@@ -122,6 +123,34 @@ hits AS (SELECT *, CASE WHEN cond_id % 2 = 0 THEN 'long' ELSE 'short' END AS dir
     )
 
 
+def nudge(digits: int) -> float:
+    """What is added before rounding, so that exact halves go one way in every engine."""
+    return float(f"1e-{digits + 4}")
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles and floats rounded, so that two engines' sums compare; no negative zero."""
-    return df.select(*[(F.round(F.col(c).cast("double"), digits) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(F.col(c).cast("double") + nudge(digits), digits) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def nudged(sql: str) -> str:
+    """SQL in which every round(x, digits) adds what `rounded` adds."""
+    out, at = "", 0
+    while (k := sql.find("round(", at)) >= 0:
+        if k and (sql[k - 1].isalnum() or sql[k - 1] == "_"):
+            out, at = out + sql[at : k + 6], k + 6
+            continue
+        depth, end, comma = 1, k + 6, None
+        while depth:
+            c = sql[end]
+            depth += (c in "([{") - (c in ")]}")
+            if c == "," and depth == 1:
+                comma = end
+            end += 1
+        if comma is None:  # whole numbers are part of the data, not of the comparison
+            out, at = out + sql[at : k + 6], k + 6
+            continue
+        digits = int(sql[comma + 1 : end - 1])
+        out += f"{sql[at:k]}(round(({nudged(sql[k + 6 : comma])})::DOUBLE + {nudge(digits)!r}::DOUBLE, {digits}) + 0.0::DOUBLE)"
+        at = end
+    return out + sql[at:]

@@ -49,6 +49,9 @@ class Config:
     wf_step_bars: int = 500
     param_shift_pct: float = 15.0
     holdout_pct: float = 0.15
+    bootstrap_n: int = 0
+    bootstrap_ci: float = 0.95
+    bootstrap_random_state: int | None = None
     permutation_n: int = 500
     permutation_least_shift: float = 0.1
     permutation_random_state: int | None = None
@@ -166,16 +169,19 @@ def research(bars: DataFrame, config: Config = Config(), conditions: list[Condit
         .join(validate.direction_consistency(directed, wins, h).select("symbol", "cond_id", F.col("consistent").alias("walk_forward")), ["symbol", "cond_id"], "left")
         .join(validate.holding_stability(trades, wins, config.horizon_min_stable_windows).select("symbol", "cond_id", "stable"), ["symbol", "cond_id"], "left")
         .join(validate.holdout(directed, config.holdout_pct, h), ["symbol", "cond_id"], "left")
-        .withColumn("ci_low", F.lit(None).cast("double"))
     )
-    n = bars.agg(F.min("n")).first()[0] or 0
-    least = max(1, int(config.permutation_least_shift * n))
-    if n > 2 * least:
-        shifts = validate.rotation_shifts(n, config.permutation_n, least, config.permutation_random_state)
-        rotated = validate.rotation_test(directed, bars, shifts).select("symbol", "cond_id", F.col("p_value").alias("permutation_p"))
-        edges = edges.join(rotated, ["symbol", "cond_id"], "left")
+    if config.bootstrap_n > 0:
+        edges = edges.join(validate.bootstrap(trades, config.bootstrap_n, config.bootstrap_ci, config.bootstrap_random_state), ["symbol", "cond_id"], "left")
     else:
-        edges = edges.withColumn("permutation_p", F.lit(None).cast("double"))
+        edges = edges.withColumns({c: F.lit(None).cast("double") for c in ("ci_low", "ci_high")})
+    # Each symbol has a range of shifts of its own: a row for each symbol.
+    shifts = {}
+    for r in bars.groupBy("symbol").agg(F.max("n").alias("n")).collect():
+        least = max(1, int(config.permutation_least_shift * r["n"]))
+        if r["n"] > 2 * least:
+            shifts[r["symbol"]] = validate.rotation_shifts(r["n"], config.permutation_n, least, config.permutation_random_state)
+    rotated = validate.rotation_test(directed, bars, shifts).select("symbol", "cond_id", F.col("p_value").alias("permutation_p"))
+    edges = edges.join(rotated, ["symbol", "cond_id"], "left")
     survivors = sorted(r[0] for r in best.select("cond_id").distinct().collect())
     if survivors:
         moved = validate.sensitivity(lambda cs: _hits(bars, cs), [conditions[k] for k in survivors], config.param_shift_pct, h)
@@ -203,7 +209,7 @@ def walk_forward(bars: DataFrame, train: int, test: int, step: int, config: Conf
     for k, s in enumerate(range(0, n - train - test + 1, step)):
         found = research(slice_bars(bars, s, s + train), config)
         best = cut(gate.plateau_candidates(found.edges, config.plateau_min_sensitivity, config.top_k_per_window).select(
-            "symbol", "cond_id", "condition", "direction", F.col("best_horizon").alias("holding"), F.col("expectancy_r").alias("train_exp"), "sensitivity"
+            "symbol", "cond_id", "condition", "direction", F.col("best_horizon").alias("holding"), F.col("expectancy_r").alias("train_exp"), "sensitivity", "uses_calendar", F.col("uses_custom")
         ))
         part = cut(retrade(slice_bars(bars, s + train, s + train + test), best, found.conditions, config).withColumn("window_label", F.lit(f"window_{k}")))
         out = part if out is None else out.unionByName(part)
@@ -232,14 +238,11 @@ def retrade(bars: DataFrame, frozen: DataFrame, conditions: list[Condition], con
 
 
 def rank_windows(results: DataFrame, settings: rank.Ranking = rank.Ranking(), over_time: bool = False) -> DataFrame:
-    """Ranked rows of window results, window by window, or of conditions over all windows."""
-    rows = rank.normalise(results.withColumn("edge_id", F.col("cond_id")))
-    keys: tuple[str, ...] = ("symbol", "window_label")
+    """Ranked rows of window results, window by window, or of conditions over all windows of a symbol."""
+    rows = results.withColumn("edge_id", F.col("cond_id"))
     if over_time:
-        rows = rank.aggregate_windows(rows).withColumn("window_label", F.lit("all")).withColumn("symbol", F.lit("all"))
-    rows = rank.collapse_identical(rank.with_atoms(rows), keys)
-    ranked = rank.score(rank.plateau(rows, settings, keys), rank.TIMEFRAME_WEIGHTS if over_time else rank.WINDOW_WEIGHTS, settings)
-    return rank.dedupe(ranked, settings, keys)
+        return rank.rank_timeframe(rows, settings, ("symbol",))
+    return rank.rank_window(rows, settings, ("symbol", "window_label"))
 
 
 def backtest_conditions(bars: DataFrame, rows: list[dict], tester: backtest.Tester, spreads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

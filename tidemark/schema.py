@@ -9,7 +9,7 @@ PRICE_STRUCTURE = [
     "ps_dist_pdh_atr", "ps_dist_pdl_atr", "ps_dist_sess_h_atr", "ps_dist_sess_l_atr", "ps_dist_round_up_atr", "ps_dist_round_dn_atr", "ps_gap_atr", "ps_gap_fill_pct",
 ]
 NEWS = [
-    "news_minutes_to_next", "news_next_importance", "news_minutes_since_last", "news_last_importance", "news_last_surprise", "news_in_window", "news_count_24h",
+    "news_min_to_next", "news_next_importance", "news_min_since_last", "news_last_importance", "news_last_surprise", "news_in_window", "news_count_next_24h",
 ]
 
 #: Seconds of a bar by name of the timeframe.

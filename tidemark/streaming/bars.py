@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.fold import fold_sorted, greedy
+
 
 def stream_bars(ticks: DataFrame, symbol: str, time: str, price: str, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Closed bars of a fixed size; ticks later than `late` are dropped. Works on batch tables alike."""
@@ -24,26 +26,17 @@ def open_positions(signals: DataFrame, hold: int) -> DataFrame:
 
     On a stream, one long for each (symbol, ea_id) is kept between batches."""
     schema = "symbol string, ea_id int, entry_idx long"
-
-    def step(free: int, bars: list[int]) -> tuple[int, list[int]]:
-        taken = []
-        for i in sorted(bars):
-            if i + 1 >= free:
-                taken.append(i + 1)
-                free = i + 2 + hold
-        return free, taken
-
     if not signals.isStreaming:
-
-        def once(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            taken = step(-1, pdf["bar_idx"].tolist())[1]
-            return pd.DataFrame({"symbol": key[0], "ea_id": key[1], "entry_idx": taken})
-
-        return signals.groupBy("symbol", "ea_id").applyInPandas(once, schema)
+        entries = signals.select("symbol", "ea_id", (F.col("bar_idx") + 1).cast("long").alias("bar_idx"))
+        return fold_sorted(entries, ("symbol", "ea_id"), "bar_idx", *greedy(hold + 1), "bar_idx long").withColumnRenamed("bar_idx", "entry_idx")
 
     def more(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         free = state.get[0] if state.exists else -1
-        free, taken = step(free, [i for f in frames for i in f["bar_idx"].tolist()])
+        taken = []
+        for e in sorted(i + 1 for f in frames for i in f["bar_idx"].tolist()):
+            if e >= free:
+                taken.append(e)
+                free = e + hold + 1
         state.update((free,))
         yield pd.DataFrame({"symbol": key[0], "ea_id": key[1], "entry_idx": taken})
 
