@@ -8,9 +8,10 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tidemark.llm import packing, sharding, token_planes, url_filter
+from tidemark.llm import packing, sharding, token_planes, tokens, url_filter
 
 from .cases import documents, empty
 
@@ -21,9 +22,7 @@ BPE = public_tokenizers.path("byte_bpe_50k.json")
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BPE)
 
 
 def library_ids(text, end):
@@ -91,6 +90,28 @@ def test_token_files_hold_every_document_in_order(spark, unit):
     assert token_planes.round_trip(empty(spark), BPE, 0).count() == 0
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x", "a <|endoftext |> b", "  <|endoftext|>\n"]
+
+
+def test_special_strings_are_what_the_library_makes_of_them(spark):
+    df = spark.createDataFrame(list(enumerate(SPECIAL * 3)), "doc_id long, text string")
+    rows = sorted(map(tuple, token_planes.round_trip(df, BPE, 0, files=2).collect()))
+    assert [(i, n, c) for i, _, n, c in rows] == [(i, len(ids), packed(ids)) for i, ids in enumerate(library_ids(t, 0) for t in SPECIAL * 3)]
+    assert rows[0][2] == 5
+    check_packing(packing.pack(df, BPE).collect(), df.collect(), packing.CAPACITY)
+    assert tokens.Encoder(BPE, special_as_text=True).encode(SPECIAL)[0].tolist() == [64, 1279, 91, 437, 1659, 5239, 91, 29, 275]
+
+
+def test_a_difference_fails_the_task_and_the_library_takes_over(monkeypatch):
+    enc = tokens.Encoder(BPE)
+    enc.fast = tiktoken.Encoding("broken", pat_str=r"\S+|\s+", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    with pytest.raises(RuntimeError):
+        enc.encode(["some words"])
+    assert [x.tolist() for x in tokens.Encoder(BPE, alone=True).encode(["some words", ""])] == [library().encode("some words").ids, []]
+    monkeypatch.setattr(tokens, "run_again", lambda: True)
+    assert tokens.encoder(BPE).alone
+
+
 def test_files_end_early_is_noticed():
     with pytest.raises(ValueError):
         token_planes.Reader(io.BytesIO(b"x" * 50), 50)
