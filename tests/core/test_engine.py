@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tidemark.functions import stats
-from tidemark.operators import asof, backtest, bars, features, gate, generate, outcomes, predicates, rank, report, simulate, validate
+from tidemark.operators import asof, backtest, bars, features, gate, generate, indicators, outcomes, predicates, rank, report, simulate, validate
 from tidemark.operators.predicates import Atom, Condition, parse_condition
+from tidemark.plans import outputs
 from tidemark.sources import files
 
 START = datetime(2024, 1, 2)
@@ -347,6 +348,69 @@ def test_erfc_to_many_digits(spark):
     assert all(r["y"] is None if r["x"] != r["x"] else abs(r["y"] - math.erfc(r["x"])) <= 1e-12 * math.erfc(r["x"]) for r in rows)
 
 
+def market_of(spark, n, symbol, rng):
+    close = 100 + np.cumsum(rng.normal(0, 1, n))
+    high, low = close + rng.uniform(0, 2, n), close - rng.uniform(0, 2, n)
+    return make(spark, {"open": close - rng.normal(0, 0.5, n), "high": high, "low": low, "close": close, "tick_volume": rng.integers(1, 90, n)}, symbol=symbol)
+
+
+def test_export_columns_by_numpy(spark):
+    """Means with memory over many small batches, against loops."""
+    rng, n = np.random.default_rng(11), 300
+    df = market_of(spark, n, "X", rng).unionByName(market_of(spark, 40, "Y", rng))
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        rows = [r.asDict() for r in indicators.export_columns(df).filter("symbol = 'X'").orderBy("bar_idx").collect()]
+        assert indicators.export_columns(df).filter("symbol = 'Y'").count() == 40
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    got = {c: np.array([np.nan if r[c] is None else r[c] for r in rows], float) for c in rows[0] if c not in ("symbol", "time")}
+    h, l, c, v = (got[k] for k in ("high", "low", "close", "tick_volume"))
+
+    def ema(x, k, first=0):
+        out = np.full(len(x), np.nan)
+        for i in range(first, len(x)):
+            out[i] = x[i] if i == first else out[i - 1] + 2 / (k + 1) * (x[i] - out[i - 1])
+        return out
+
+    def smma(x, k, first=0):
+        out = np.full(len(x), np.nan)
+        for i in range(first + k - 1, len(x)):
+            out[i] = x[first : first + k].mean() if i == first + k - 1 else (out[i - 1] * (k - 1) + x[i]) / k
+        return out
+
+    move = np.diff(c, prepend=c[0])
+    up, down = smma(np.maximum(move, 0), 14, 1), smma(np.maximum(-move, 0), 14, 1)
+    tr = np.concatenate([[0], np.maximum.reduce([h[1:] - l[1:], abs(h[1:] - c[:-1]), abs(l[1:] - c[:-1])])])
+    du, dd = np.maximum(np.diff(h, prepend=h[0]), 0), np.maximum(-np.diff(l, prepend=l[0]), 0)
+    dp, dm = np.where(du > dd, du, 0), np.where(dd > du, dd, 0)
+    part = lambda x, of: np.divide(100 * x, of, out=np.zeros(len(x)), where=of != 0)
+    p, m = ema(part(dp, tr), 14), ema(part(dm, tr), 14)
+    pw, mw, tw = (smma(x, 14, 1) for x in (dp, dm, tr))
+    dx = np.where(np.isnan(tw), np.nan, 100 * abs(pw - mw) / (pw + mw))
+    ama, er = c.copy(), np.zeros(n)
+    for i in range(10, n):
+        er[i] = abs(c[i] - c[i - 10]) / abs(np.diff(c[i - 10 : i + 1])).sum()
+        ama[i] = ama[i - 1] + (er[i] * (2 / 3 - 2 / 31) + 2 / 31) ** 2 * (c[i] - ama[i - 1])
+    lwma = np.full(n, np.nan)
+    for i in range(9, n):
+        lwma[i] = (c[i - 9 : i + 1] * np.arange(1, 11)).sum() / 55
+    e3 = ema(ema(ema(c, 14), 14), 14)
+    flow = np.cumsum((2 * c - l - h) / (h - l) * v)
+    want = {
+        "ma_20_ema": ema(c, 20), "ma_50_smma": smma(c, 50), "ma_10_lwma": lwma, "tema_10": 3 * ema(c, 10) - 3 * ema(ema(c, 10), 10) + ema(ema(ema(c, 10), 10), 10), "rsi_14": 100 - 100 / (1 + up / down), "adx_14": ema(part(abs(p - m), p + m), 14),
+        "adxwilder_14": smma(dx, 14, 14), "ama_10_2_30": ama, "macd_12_26_9_main": ema(c, 12) - ema(c, 26), "trix_14": np.concatenate([[np.nan], e3[1:] / e3[:-1] - 1]), "chaikin_3_10": ema(flow, 3) - ema(flow, 10), "obv": v[0] + np.cumsum(np.sign(move) * v),
+    }
+    for name, x in want.items():
+        assert np.array_equal(np.isnan(got[name]), np.isnan(x)), name
+        assert np.allclose(got[name], x, rtol=2e-4, atol=2e-3, equal_nan=True), (name, np.nanmax(abs(got[name] - x)))
+    assert len(got) - 7 == 82 and all(np.isfinite(got[k]).sum() > 50 for k in got)
+    stop = got["sar_002_02"]
+    turns = np.flatnonzero((stop[1:] < l[1:]) != (stop[:-1] < l[:-1]))
+    assert 3 < len(turns) < n / 3 and all(s <= b or s >= a for s, a, b in zip(stop[1:], h[1:], l[1:]))
+
+
 def test_features_have_warm_up(spark):
     df = make(spark, {"open": range(60), "high": range(1, 61), "low": range(60), "close": range(60), "atr_14": range(1, 61)})
     out = features.volatility_regime(df, 10, 5).orderBy("bar_idx").collect()
@@ -357,4 +421,16 @@ def test_reports():
     assert report.to_mql("a < 1 AND b crosses_above 2") == "(a < 1.0) && (b > 2.0)" and report.text_to_mql("NOT a OR b") == "!a || b"
     text = report.markdown([{"a": 1.0, "b": None, "s": True}], ["a", "b"], "T", "s")
     assert "| 1.0000 | - | <-- selected" in text
-    assert "Sell(MAGIC" in report.expert_advisor("X", "e1", "a < 1", "short", 5)
+    source = outputs.advisor({"edge_id": "e1", "condition": "a < 1 AND b > c", "direction": "short", "best_horizon": 5})
+    assert "trade.Sell(Lots, _Symbol);" in source and "ExitBars  = 5;" in source and "return (a < 1.0) && (b > c);" in source and f"Magic     = {report.magic_number('e1')};" in source
+    with pytest.raises(ValueError):
+        outputs.advisor({"edge_id": "e1", "condition": "a < 1"})
+    stub = outputs.candidate_stub({"condition": "cal_min_to_next_high < 15 AND ps_gap_atr > 1", "direction": "long", "best_horizon": 3, "gate_passed": False, "reasons": ["too few trades"], "n_trades": 4, "expectancy_r": 0.5, "profit_factor": math.inf, "permutation_p": 0.2})
+    assert "not recommended (too few trades)" in stub and "depends on the calendar (cal_min_to_next_high)" in stub and "custom indicators (ps_gap_atr)" in stub and "0.5000 R, profit factor inf" in stub
+    windows = [{"window_label": "w1", "train": "a .. b", "test": "b .. c", "truncated": True, "n_candidates": 3, "accepted": [{"edge_id": 1, "condition": "a < 1", "direction": "long", "holding": 2, "test_exp": 0.1, "profit_factor": 2.0, "n_trades": 9}]}, {"window_label": "w2", "train": "b .. c", "test": "c .. d", "n_candidates": 0, "accepted": []}]
+    text = outputs.runs_summary([{"run_label": "run_2015", "start_year": 2015, "train_years": 2, "test_years": 1, "step_years": 1, "windows": windows}])
+    assert "Runs: 1, windows: 2" in text and "| w1 | a .. b | b .. c | yes | 3.0000 | 1 |".replace("3.0000", "3") in text and "before its nominal end" in text and "## w2: accepted edges\n\nnone" in text
+    text = outputs.ranking_report([{"rank": 1, "condition": "a < 1", "score": 50.0, "warnings": ["low_pf"], "similar": list("abcd")}], "T", single_run=True)
+    assert "#1 also stands for 4 similar: `a`; `b`; `c` (+1 more)" in text and "low_pf" in text
+    assert "| 2 | 9 | 0.1000 | 0.2000 | 0.3000 | <-- selected" in outputs.holding_scan([{"horizon": 2, "n_trades": 9, "mean_r": 0.1, "std_r": 0.2, "score": 0.3}, {"horizon": 1}], 2)
+    assert outputs.chart_svg([{"balance": 1.0, "low": 0.5, "high": 2.0}] * 2, "a < b").count("<path") == 2 and outputs.chart_svg([], "") == ""

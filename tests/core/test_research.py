@@ -7,7 +7,7 @@ import pytest
 from tidemark.operators.backtest import Tester as Settings
 from tidemark.operators.gate import Gate
 from tidemark.operators.simulate import Costs
-from tidemark.plans import research
+from tidemark.plans import outputs, research, runs
 
 SETTINGS = dict(max_horizon=4, wf_train_bars=400, wf_test_bars=200, wf_step_bars=200, permutation_n=20, permutation_random_state=1, min_freq_per_year=1, top_n_atomic_for_combine=4, costs=Costs(0.01, 0.0), pip_value=0.01, horizon_scan_max_bars=4)
 
@@ -47,6 +47,32 @@ def test_outer_windows_and_ranking(bars):
         research.walk_forward(bars, 100, 50, 50, config)
 
 
+def test_sequences_of_calendar_windows(bars, spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    yearly = bars.withColumn("time", (F.lit(1420070400) + F.col("bar_idx") * 86400).cast("timestamp"))  # a bar a day from 2015
+    settings = SETTINGS | dict(wf_train_bars=300, wf_test_bars=100, max_atoms_per_combo=1, plateau_min_sensitivity=-1.0)
+    config = research.Config(**settings, gate=Gate(min_trades=5, require_permutation=False, require_walk_forward=False, require_stable=False))
+    specs = [{"start_year": 2015, "train_years": 3, "test_years": 1, "step_years": 3}, {"start_year": 2040, "train_years": 3, "test_years": 1, "step_years": 1}]
+    store = runs.RunStore(spark, str(tmp_path / "store"))
+    rows, told = runs.sequences(yearly, specs, config, store)
+    assert [r["run_label"] for r in told] == ["run_2015", "run_2040"] and told[1]["windows"] == []
+    assert [(w["window_label"], w["truncated"]) for w in told[0]["windows"]] == [("run_2015/window_0000", False), ("run_2015/window_0001", True)]
+    assert {r["window_label"] for r in rows.collect()} <= {"run_2015/window_0000", "run_2015/window_0001"} and rows.count() > 0
+    assert store.finished("windows", "run_2015/window_0001") and "# Walk-forward runs" in outputs.runs_summary(told)
+    with pytest.raises(ValueError):
+        runs.sequences(yearly, [{"train_years": 1, "test_years": 1, "step_years": 1}], config)
+
+
+def test_backtest_after_a_run(bars, spark, tmp_path):
+    df = spark.createDataFrame([(1, "rsi_14 < 30", "long", 3), (2, "none < 1", "long", 3), (3, None, "long", 3)], "rank int, condition string, direction string, holding_bars int")
+    df.coalesce(1).write.option("header", True).csv(str(tmp_path / "top"))
+    out = runs.auto_backtest(spark, bars, str(tmp_path / "top"), "ranking", str(tmp_path / "bt"), Settings(spread_points=1.0)).collect()
+    assert [(r["rank"], r["condition"]) for r in out] == [(1, "rsi_14 < 30")] and out[0]["n_trades"] > 50
+    assert runs.try_auto_backtest(spark, bars, str(tmp_path / "nothing"), "ranking", str(tmp_path / "b2"), Settings()) is None
+    assert runs.missing_columns([{"condition": "none < 1"}], bars) == ["#1 skipped, no column none"]
+
+
 def test_backtest_of_ranked_rows(bars):
     rows = [{"condition": "rsi_14 < 30", "direction": "long", "holding": 3}, {"condition": "none < 1", "direction": "long", "holding": 3}]
     trades, summary = research.backtest_conditions(bars, rows, Settings(spread_points=1.0))

@@ -43,7 +43,7 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: str, start: Callable[
                 if key != now:
                     now, state = key, start()
                 state, out = step(state, rows)
-                arrays = [pa.array(out[f.name], f.type) for f in made]
+                arrays = [x.cast(f.type) if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in made]
                 if len(arrays[0]):
                     same = [pa.array([v], arrow.field(k).type).take(pa.array(np.zeros(len(arrays[0]), np.int32))) for k, v in zip(keys, key)]
                     yield pa.RecordBatch.from_arrays([*same, *arrays], schema=arrow)

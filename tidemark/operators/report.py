@@ -47,20 +47,3 @@ def text_to_mql(text: str) -> str:
 
 def magic_number(edge_id: str) -> int:
     return zlib.crc32(edge_id.encode()) % 1_000_000
-
-
-EA = """// {symbol} {edge_id}
-input double Lots = 0.10;
-#define MAGIC {magic}
-#define EXIT_BARS {hold}
-bool Signal() {{ return {signal}; }}
-void OnNewBar()
-{{
-   CloseOlderThan(MAGIC, EXIT_BARS);
-   if(!HasPosition(MAGIC) && Signal()) {side}(MAGIC, Lots);
-}}
-"""
-
-
-def expert_advisor(symbol: str, edge_id: str, condition: str, direction: str, hold: int) -> str:
-    return EA.format(symbol=symbol, edge_id=edge_id, magic=magic_number(edge_id), hold=hold, signal=to_mql(condition), side="Buy" if direction == "long" else "Sell")

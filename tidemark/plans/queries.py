@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import adjust_p
 from ..operators import asof, backtest, features, gate, generate, outcomes, predicates, rank, report, simulate, validate
+from ..operators.indicators import export_columns
 from ..schema import NEWS, PRICE_STRUCTURE
 from ..session import ship
 from ..streaming.bars import open_positions, stream_bars
+from . import outputs
 from .base import BARS, CONDITIONS, DAILY, H, HOUR, INDICATORS, TEXTS, calendar, daily, full_bars, full_sql, hits, hourly, indicators, nudged, read, rounded, side
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +57,43 @@ def i1_indicators(spark, sf):
     return rounded(indicators(spark, sf).select("symbol", "bar_idx", *_IND), 2)
 
 
+def _ema(x: str, n: int) -> str:
+    return f"list_reduce(list({x}) OVER u, lambda a, b: a + (b - a) * {2 / (n + 1)!r}::DOUBLE)"
+
+
+def _smma(x: str, n: int, some: str = "") -> str:
+    held = f"(list({x}) {some} OVER u)"
+    return f"CASE WHEN len({held}) >= {n} THEN list_reduce(list_prepend(list_avg({held}[1:{n}]), {held}[{n + 1}:]), lambda a, b: (a * {n - 1} + b) / {n}::DOUBLE) END"
+
+
+def _mean(x: str, n: int, least: int) -> str:
+    return f"CASE WHEN bar_idx >= {least} THEN avg({x}) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS {n - 1} PRECEDING) END"
+
+
+_UP = "WINDOW u AS (PARTITION BY symbol ORDER BY bar_idx ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY symbol ORDER BY bar_idx), w14 AS (PARTITION BY symbol ORDER BY bar_idx ROWS 13 PRECEDING)"
+# Directional movement, its two means, and the mean of how far these are apart.
+_ADX = f"""dm0 AS (SELECT *, coalesce(c - pc, 0) AS mv, coalesce(greatest(h - l, abs(h - pc), abs(l - pc)), 0) AS tr0, greatest(h - lag(h) OVER w, 0) AS du, greatest(lag(l) OVER w - l, 0) AS dd, (h + l + c) / 3 AS tp0, (h + l) / 2 AS md,
+    tick_volume::DOUBLE AS v, open::DOUBLE AS o FROM i0 {_UP}),
+    dm1 AS (SELECT *, CASE WHEN du > dd THEN du ELSE 0 END AS dp, CASE WHEN dd > du THEN dd ELSE 0 END AS dn FROM dm0), dm2 AS (SELECT *, CASE WHEN tr0 <> 0 THEN 100 * dp / tr0 ELSE 0 END AS sp, CASE WHEN tr0 <> 0 THEN 100 * dn / tr0 ELSE 0 END AS sn FROM dm1),
+    dm3 AS (SELECT *, {_ema('sp', 14)} AS pdi, {_ema('sn', 14)} AS ndi FROM dm2 {_UP}), dm4 AS (SELECT *, CASE WHEN pdi + ndi <> 0 THEN 100 * abs(pdi - ndi) / (pdi + ndi) ELSE 0 END AS dx FROM dm3), dm AS (SELECT *, {_ema('dx', 14)} AS adx FROM dm4 {_UP})"""
+_EXPORT = {
+    "ma_20_ema": _ema("c", 20), "ma_20_smma": _smma("c", 20), "dema_10": f"2 * e10 - {_ema('e10', 10)}", "macd_12_26_9_main": "mc", "macd_12_26_9_signal": _mean("mc", 9, 8), "adx_14": "adx",
+    "rsi_14": "CASE WHEN ls <> 0 THEN 100 - 100 / (1 + gn / ls) WHEN gn IS NULL THEN NULL WHEN gn <> 0 THEN 100 ELSE 50 END", "bears_13": f"l - {_ema('c', 13)}", "bulls_13": f"h - {_ema('c', 13)}",
+    "ad": "sum(fl) OVER u", "obv": "sum(CASE WHEN bar_idx = 0 THEN v ELSE sign(mv) * v END) OVER u", "ao": "ao", "ac": f"ao - {_mean('ao', 5, 37)}", "atr_14": _mean("tr0", 14, 14), "mom_14": "100 * c / lag(c, 14) OVER w", "force_13": "v * (m13 - lag(m13) OVER w)",
+    "demarker_14": "CASE WHEN bar_idx >= 14 THEN coalesce(sum(du) OVER w14 / nullif(sum(du) OVER w14 + sum(dd) OVER w14, 0), 0) END", "trix_14": "(t3 - lag(t3) OVER w) / lag(t3) OVER w", "chaikin_3_10": "ch",
+    "mfi_14": "CASE WHEN bar_idx >= 14 THEN coalesce(100 - 100 / (1 + sum(CASE WHEN td > 0 THEN tp0 * v ELSE 0 END) OVER w14 / nullif(sum(CASE WHEN td < 0 THEN tp0 * v ELSE 0 END) OVER w14, 0)), 100) END",
+}
+
+
+@query(
+    f"""WITH {INDICATORS}, {_ADX}, x1 AS (SELECT *, coalesce((2 * c - l - h) / nullif(h - l, 0), 0) * v AS fl, {_ema('c', 10)} AS e10, {_ema('c', 12)} - {_ema('c', 26)} AS mc, {_mean('md', 5, 33)} - {_mean('md', 34, 33)} AS ao, {_mean('c', 13, 12)} AS m13, {_ema('c', 14)} AS t1, tp0 - lag(tp0) OVER w AS td,
+    {_smma('greatest(mv, 0)', 14, 'FILTER (bar_idx > 0)')} AS gn, {_smma('greatest(-mv, 0)', 14, 'FILTER (bar_idx > 0)')} AS ls FROM dm {_UP}), x2 AS (SELECT *, sum(fl) OVER u AS acc, {_ema('t1', 14)} AS t2 FROM x1 {_UP}), x3 AS (SELECT *, {_ema('t2', 14)} AS t3, {_ema('acc', 3)} - {_ema('acc', 10)} AS ch FROM x2 {_UP}),
+    x4 AS (SELECT symbol, bar_idx, {', '.join(f'({x})::FLOAT AS {c}' for c, x in _EXPORT.items())} FROM x3 {_UP}) SELECT symbol, bar_idx, {', '.join(f'round({c}, 2) AS {c}' for c in _EXPORT)} FROM x4"""
+)
+def i1_export_columns(spark, sf):
+    return rounded(export_columns(hourly(spark, sf)).select("symbol", "bar_idx", *_EXPORT), 2)
+
+
 @query(f"WITH {full_sql()} SELECT symbol, cond_id, bar_idx FROM hits")
 def p1_p16_triggers(spark, sf):
     return hits(indicators(spark, sf)).select("symbol", "cond_id", "bar_idx")
@@ -394,7 +433,7 @@ def v3_holding_stability(spark, sf):
     return validate.holding_stability(t, _wins(b), 3)
 
 
-_REG = ", rg AS (SELECT *, quantile_cont(atr_14::DOUBLE, 0.25) OVER (PARTITION BY symbol) AS lo, quantile_cont(atr_14::DOUBLE, 0.75) OVER (PARTITION BY symbol) AS hi FROM ind), rb AS (SELECT * EXCLUDE (lo, hi), ['ranging', CASE WHEN atr_14::DOUBLE > hi THEN 'high_vol' WHEN atr_14::DOUBLE < lo THEN 'low_vol' ELSE 'normal_vol' END] AS regimes FROM rg)"
+_REG = f", {_ADX}, rg AS (SELECT ind.*, adx::FLOAT AS adx_14, quantile_cont(atr_14::DOUBLE, 0.25) OVER (PARTITION BY symbol) AS lo, quantile_cont(atr_14::DOUBLE, 0.75) OVER (PARTITION BY symbol) AS hi FROM ind JOIN (SELECT symbol, bar_idx, adx FROM dm) USING (symbol, bar_idx)), rb AS (SELECT * EXCLUDE (lo, hi), [CASE WHEN adx_14 > 25 THEN 'trending' ELSE 'ranging' END, CASE WHEN atr_14::DOUBLE > hi THEN 'high_vol' WHEN atr_14::DOUBLE < lo THEN 'low_vol' ELSE 'normal_vol' END] AS regimes FROM rg)"
 
 
 @query(
@@ -403,7 +442,8 @@ _REG = ", rg AS (SELECT *, quantile_cont(atr_14::DOUBLE, 0.25) OVER (PARTITION B
     SELECT symbol, cond_id, regime, n, round(mean_prob, 6) AS mean_prob, coalesce(regime = best, FALSE) AS most_robust FROM g LEFT JOIN b USING (symbol, cond_id)"""
 )
 def v4_regime_stress(spark, sf):
-    return rounded(validate.regime_stress(hits(validate.with_regimes(full_bars(spark, sf))), H))
+    adx = export_columns(hourly(spark, sf)).select("symbol", "bar_idx", "adx_14")
+    return rounded(validate.regime_stress(hits(validate.with_regimes(full_bars(spark, sf).join(adx, ["symbol", "bar_idx"]))), H))
 
 
 _BASES = CONDITIONS
@@ -728,7 +768,7 @@ def c1_edge_report(spark, sf):
 
 @query()
 def c4_c6_expert_advisors(spark, sf):
-    rows = [(k, report.magic_number(str(k)), report.expert_advisor("X", str(k), t, "long" if k % 2 == 0 else "short", 7)) for k, t in enumerate(TEXTS)]
+    rows = [(k, report.magic_number(str(k)), outputs.advisor({"edge_id": str(k), "condition": t, "direction": "long" if k % 2 == 0 else "short", "best_horizon": 7})) for k, t in enumerate(TEXTS)]
     return spark.createDataFrame(rows, "cond_id int, magic int, source string")
 
 

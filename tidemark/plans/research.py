@@ -207,11 +207,12 @@ def walk_forward(bars: DataFrame, train: int, test: int, step: int, config: Conf
     n = bars.agg(F.max("n")).first()[0] or 0
     out = None
     for k, s in enumerate(range(0, n - train - test + 1, step)):
-        found = research(slice_bars(bars, s, s + train), config)
+        whole = bars.filter(F.col("n") >= s + train + test)  # symbols that the window fits into
+        found = research(slice_bars(whole, s, s + train), config)
         best = cut(gate.plateau_candidates(found.edges, config.plateau_min_sensitivity, config.top_k_per_window).select(
             "symbol", "cond_id", "condition", "direction", F.col("best_horizon").alias("holding"), F.col("expectancy_r").alias("train_exp"), "sensitivity", "uses_calendar", F.col("uses_custom")
         ))
-        part = cut(retrade(slice_bars(bars, s + train, s + train + test), best, found.conditions, config).withColumn("window_label", F.lit(f"window_{k}")))
+        part = cut(retrade(slice_bars(whole, s + train, s + train + test), best, found.conditions, config).withColumn("window_label", F.lit(f"window_{k}")))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no outer window fits")

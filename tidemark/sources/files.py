@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.asof import CalendarOptions, attach_calendar
 from ..schema import NEWS, OHLC, PRICE_STRUCTURE, VOLREGIME
 
 # Time formats of exports, in the order in which they are tried.
@@ -20,9 +21,10 @@ ENCODINGS = ["UTF-8", "UTF-16", "windows-1252", "ISO-8859-1"]
 #: Share of rows that a format has to parse.
 ENOUGH = 0.99
 CALENDAR_NUMBERS = ["event_id", "importance", "sector", "event_type", "unit", "multiplier", "impact_type", "revision", "actual", "forecast", "previous", "revised_previous"]
+# Headers under which trade lists come, in lower case with underscores for spaces.
 TRADE_ALIASES = {
-    "entry_time": ["entry_time", "open_time", "time_open"], "exit_time": ["exit_time", "close_time", "time_close"],
-    "entry_price": ["entry_price", "open_price", "price_open"], "exit_price": ["exit_price", "close_price", "price_close"],
+    "entry_time": ["entry_time", "open_time", "time_open", "opentime"], "exit_time": ["exit_time", "close_time", "time_close", "closetime"],
+    "entry_price": ["entry_price", "open_price", "price_open", "openprice"], "exit_price": ["exit_price", "close_price", "price_close", "closeprice"],
 }
 
 
@@ -136,8 +138,21 @@ def load_bars(spark: SparkSession, folder: str, columns: list[str] | None = None
     return df.select(*[F.col(c).cast("float").alias(c) if kinds[c] == "double" else F.col(c) for c in names])
 
 
-def ingest(spark: SparkSession, path: str, folder: str, symbol: str, timeframe: str) -> DataFrame:
-    write_bars(read_bars(spark, path, symbol, timeframe), folder)
+def news_repairs(bars: DataFrame) -> dict[str, int]:
+    """Rows that sanitize_news changes: boundary_rows (an event at the bar itself) and uncovered_rows; of bars as they were read."""
+    if not set(NEWS) <= set(bars.columns):
+        return {"boundary_rows": 0, "uncovered_rows": 0}
+    open_ = F.col(NEWS[2]).isNull() | F.col(NEWS[0]).isNull()
+    row = bars.agg(F.count("*").alias("n"), F.count_if(open_).alias("open"), F.count_if(~open_ & (F.col(NEWS[2]) == 0)).alias("at")).first()
+    return {"boundary_rows": row["at"], "uncovered_rows": row["open"] if row["open"] < row["n"] else 0}
+
+
+def ingest(spark: SparkSession, path: str, folder: str, symbol: str, timeframe: str, compression: str = "zstd", calendar: str | None = None, options: CalendarOptions = CalendarOptions(), currencies: list[str] | None = None) -> DataFrame:
+    """Read an export, with the cal_ columns of a calendar file if one is given, store it, and return what is stored."""
+    bars = read_bars(spark, path, symbol, timeframe)
+    if calendar is not None:
+        bars = attach_calendar(bars, read_calendar(spark, calendar), symbol, timeframe, options, currencies)
+    write_bars(bars, folder, compression)
     return load_bars(spark, folder)
 
 
@@ -163,13 +178,13 @@ def read_spreads(spark: SparkSession, path: str) -> DataFrame:
 def read_reference_trades(spark: SparkSession, path: str) -> DataFrame:
     """entry_time, exit_time, entry_price, exit_price under any of their header aliases."""
     df = read_text_table(spark, path)
-    lower = {c.lower(): c for c in df.columns}
+    lower = {c.strip().lower().replace(" ", "_"): c for c in df.columns}
     found = {}
     for name, aliases in TRADE_ALIASES.items():
         hit = next((lower[a] for a in aliases if a in lower), None)
         if hit is None:
             raise ValueError(f"no column for {name}")
-        found[name] = hit
+        found[name] = f"`{hit}`"
     formats = TIME_FORMATS + MORE_FORMATS
     out = df.select(*[(moment(F.col(c), formats).cast("timestamp_ntz") if n.endswith("time") else number(F.col(c), "double")).alias(n) for n, c in found.items()])
     return out.filter("entry_time IS NOT NULL")
@@ -181,12 +196,6 @@ def write_results(df: DataFrame, folder: str, order: list[Column]) -> None:
     flat.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
 
 
-def read_window_results(spark: SparkSession, folder: str, name: str = "TEST_PERIOD_RESULTS*") -> DataFrame:
-    """Result files of all windows below a folder; window_label is the folder that a file lies in."""
-    df = spark.read.options(header=True, inferSchema=True, recursiveFileLookup=True, pathGlobFilter=name).csv(folder)
-    return df.withColumn("window_label", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """By name; columns that some lack are null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
