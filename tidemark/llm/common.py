@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut as cut
+from ..session import shared_dir as shared_dir
 from ..session import ship as ship
 
 #: Rows that one cell of a rank holds on average; a cell is sorted in one task.
@@ -19,29 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset, as in tests on one machine, a temporary folder is chosen."""
-    sc = spark.sparkContext
-    at = sc._jsc.sc().getCheckpointDir()
-    if at.isDefined():
-        return at.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own for files an operator writes, under the shared one."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

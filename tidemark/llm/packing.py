@@ -120,13 +120,9 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACIT
     line = line.withColumn("_deal", F.floor((F.col("_base") + F.col("_in")) / step).cast("long"))
     # Every step on the line has a piece that starts there, as pieces are shorter than a step.
     line = line.withColumn("sequence_id", F.lit(at) + F.col("_deal"))
-    small_total = ranked.filter(F.col("_class") == small).agg(F.sum("length")).first()[0] or 0
+    small_total, end = ranked.filter(F.col("_class") == small).agg(F.sum("length"), F.max_by("length", "_rank")).first()
+    lines = (small_total - end) // step + 1 if small_total else 0
     tails_df = ranked.filter((F.col("_class") <= classes) & (F.col("_rank") >= table(whole)))
-    last_small = ranked.filter(F.col("_class") == small).agg(F.max("_rank").alias("r")).first()[0]
-    lines = 0
-    if last_small is not None:
-        end = ranked.filter((F.col("_class") == small) & (F.col("_rank") == last_small)).first()["length"]
-        lines = (small_total - end) // step + 1
     tails = [(r["_class"], r["_rank"], r["length"]) for r in tails_df.select("_class", "_rank", "length").collect()]
     placed = spark.createDataFrame(
         [(j, k, at + lines + b, o) for j, k, b, o in first_fit(tails, capacity)] or [(-1, -1, 0, 0)], "_j int, _k long, sequence_id long, offset long"
