@@ -57,8 +57,23 @@ def test_cells_hold_all_that_is_near():
     u = embedding_dedup._unit(rng.normal(size=(600, 6)))
     pivots = embedding_dedup.far_apart(u[:80], 12)
     radius = math.sqrt(2 - 2 * 0.9)
-    home, held = embedding_dedup.cells_of(u, pivots, radius)
+    home, held, _ = embedding_dedup.cells_of(u, pivots, radius)
     near = u @ u.T >= 0.9
     for a, b in zip(*np.nonzero(near)):
         assert held[b, home[a]]
     assert held.mean() < 0.9
+
+
+def test_blocks_out_of_reach_do_not_meet(spark):
+    """On an arc most blocks lie apart: copies stay few, and no link is lost."""
+    angles = np.linspace(0, 3, 2000)
+    rows = [(i, [math.cos(a), math.sin(a), 0.1], 1) for i, a in enumerate(angles)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(df, block=100).collect()}
+    u = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()], float)
+    u /= np.sqrt((u * u).sum(axis=1, keepdims=True))
+    counts = (u @ u.T >= 0.98).sum(axis=1) - 1
+    assert [got[i] for i in range(2000)] == [(int(n), 0) for n in counts]
+    held = spark.createDataFrame([(1, 3, 0, i, 1, True, 2 * math.sin(a / 2), b"") for i, a in enumerate(angles)], embedding_dedup.CELLS)
+    copies = embedding_dedup._in_blocks(held, math.sqrt(0.04), 100).count()
+    assert copies < 15 * 2000  # all pairs of 20 blocks are 39 each
