@@ -8,22 +8,28 @@ make bands, and equal bands a bucket. Texts with equal sets are one class from h
 A bucket's members are compared by their signatures, a byte a row, and each part that stays
 connected becomes a star around its least class: fewer candidate edges than members, whatever
 the bucket holds. The bound on signatures is far below the threshold, so that a link passes it but
-for a chance of about one in a million, while texts that merely share a passage do not hang
-together. The components of the stars are groups that hold every link whole.
+for a chance below that of sharing no band, while texts that merely share a passage do not hang
+together. Sets of a few shingles, whose signatures vary too much for that, have exact keys beside
+the bands: hashes of the set less any of its parts that a link leaves out. The components of the
+stars are groups that hold every link whole.
 
 Links are then confirmed on full sets inside each group, so that no link is lost because a
-star's centre is not near both its ends. Buckets and groups are worked on in blocks of a fixed
-number of classes, pairs of blocks apart from one another; each emits a forest of what it found
-connected, never the pairs.
+star's centre is not near both its ends. A large bucket or group is starred first: those near the
+centre hang together by it and need not meet, so that only what is left over meets all, in pairs
+of blocks of a fixed number of classes; in a group the centre is the one nearest to a first, and
+what is farther from it than two links (a metric) does not meet those near it. Each pair emits a
+forest of what it found connected, never the pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_of
@@ -37,6 +43,8 @@ PERCENT = 75
 BINS, BANDS = 128, 32
 #: Equal rows of two signatures (of BINS) for a candidate: 3/4 of BINS are expected at the threshold.
 LEAST_EQUAL = 64
+#: Sets of so many shingles at most have exact keys.
+SMALL = 11
 #: Classes in a block of a group, and of a bucket.
 BLOCK, BUCKET_BLOCK = 512, 1024
 #: Text bytes worked on at a time.
@@ -72,6 +80,23 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return mix((mix(rows) * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
+@lru_cache(maxsize=64)
+def _left_out(n: int, most: int) -> np.ndarray:
+    """A row for each choice of up to `most` of n, as 0 and 1."""
+    rows = [c for k in range(most + 1) for c in combinations(range(n), k)]
+    out = np.zeros((len(rows), n), np.uint64)
+    for i, c in enumerate(rows):
+        out[i, list(c)] = 1
+    return out
+
+
+def exact_keys(shingles_: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Hashes of the set less each part that a link may leave out of it: two linked sets share that of their intersection."""
+    values = mix(shingles_ * WINDOW_2)
+    most = len(shingles_) * (100 - percent) // 100
+    return mix(values.sum(dtype=np.uint64) - _left_out(len(shingles_), most) @ values)
+
+
 def slices_of(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """Texts of a string column as bytes, a bounded number of bytes at a time."""
     start, held, out = 0, 0, []
@@ -90,13 +115,14 @@ def sets_of(texts: list[bytes], k: int) -> list[np.ndarray]:
     return [np.unique(shingles(h[a:b], k)) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
 
 
-def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, texts in slices_of(batch.column(1)):
             sets = sets_of(texts, k)
             some = [i for i, s in enumerate(sets) if len(s)]
             full: list = [None] * len(texts)
             short: list = [None] * len(texts)
+            exact = [exact_keys(s, percent).view(np.int64) if 0 < len(s) <= SMALL else None for s in sets]
             if some:
                 signed = signatures([sets[i] for i in some])
                 for i, m, b in zip(some, bands(signed).view(np.int64), mix(signed).astype(np.uint8)):
@@ -111,8 +137,9 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                     pa.array([d[1] for d in digest], pa.int64()),
                     pa.array(full, pa.list_(pa.int64())),
                     pa.array(short, pa.binary()),
+                    pa.array(exact, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "tkey", "n_shingles", "s1", "s2", "bands", "sig"],
+                ["doc_id", "tkey", "n_shingles", "s1", "s2", "bands", "sig", "exact"],
             )
 
 
@@ -125,7 +152,7 @@ def _sized(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         for start, texts in slices_of(batch.column(0)):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i).slice(start, len(texts)) for i in range(1, 4)] + [pa.array([s.tobytes() for s in sets_of(texts, k)], pa.binary())],
-                ["c", "grp", "blocks", "shingles"],
+                ["c", "grp", "n", "shingles"],
             )
 
 
@@ -244,10 +271,74 @@ def linked(sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[
 
 
 def _paired(df: DataFrame) -> DataFrame:
-    """Deal c into `blocks` blocks and copy it to each pair (x, y) of them that it is part of; side tells its block."""
-    mine = F.pmod(F.xxhash64("c", F.lit(3)), F.col("blocks")).cast("int")
-    out = df.withColumn("b", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return out.withColumns({"x": F.least("b", "o"), "y": F.greatest("b", "o"), "side": (F.col("b") > F.col("o")).cast("int")})
+    """Copies of rows to the pairs (x, y) of blocks that they are part of; side tells which of the two.
+
+    Rows are dealt into `rest` blocks or, if they are near their centre, into `close` ones; blocks
+    of the rest meet all, but near ones not each other (`cross` marks pairs of a near block with one
+    of the rest). Rows that are `far` from the centre meet no near ones."""
+    zero = F.lit(0)
+    upto = lambda n: F.when(n > 0, F.sequence(zero, n - 1)).otherwise(F.array().cast("array<int>"))
+    own = F.pmod(F.xxhash64("c", F.lit(3)), F.greatest(F.when(F.col("near"), F.col("close")).otherwise(F.col("rest")), F.lit(1))).cast("int")
+    df = df.withColumn("b", own)
+    b, rest = F.col("b"), F.col("rest")
+    pair = lambda x, y, side, cross: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"), F.lit(cross).alias("cross"))
+    among = F.transform(upto(rest), lambda o: pair(F.least(b, o), F.greatest(b, o), b > o, False))
+    across = F.transform(upto(F.when(F.col("far"), zero).otherwise(F.col("close"))), lambda o: pair(b, rest + o, zero, True))
+    from_near = F.transform(upto(rest), lambda o: pair(o, rest + b, F.lit(1), True))
+    return df.withColumn("p", F.explode(F.when(F.col("near"), from_near).otherwise(F.concat(among, across)))).select("*", "p.*").drop("p", "b", "near", "far", "close", "rest")
+
+
+def _blocks(n: Column, size: int) -> Column:
+    return F.ceil(n / size).cast("int")
+
+
+def _starred_buckets(entries: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Of large buckets (bucket, c, sig): the edges to each bucket's least class, and the rows for _paired."""
+    centres = entries.groupBy("bucket").agg(F.min("c").alias("centre"), F.min_by("sig", "c").alias("csig"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sig, centre = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in ("sig", "csig"))
+                near = (sig == centre).sum(axis=1) >= LEAST_EQUAL
+                yield pa.RecordBatch.from_arrays([batch.column(k) for k in ("bucket", "c", "sig", "centre")] + [pa.array(near)], ["bucket", "c", "sig", "centre", "near"])
+
+    judged = cut(entries.join(centres, "bucket").select("bucket", "c", "sig", "centre", "csig").mapInArrow(judge, "bucket long, c long, sig binary, centre long, near boolean"))
+    counts = judged.groupBy("bucket").agg(_blocks(F.count_if("near"), size).alias("close"), _blocks(F.count_if(~F.col("near")), size).alias("rest"))
+    rows = judged.join(counts, "bucket").select("bucket", "c", "sig", "near", F.lit(False).alias("far"), "close", "rest")
+    return judged.filter("near AND c != centre").select(F.col("c").alias("u"), F.col("centre").alias("v")), rows
+
+
+def _compared(sets: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
+    """Rows of sets (c, grp, shingles) with their similarity to the group's centre (grp, centre, cset), and whether it is a link, or too far for one link more."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for own, other in zip(batch.column("shingles"), batch.column("cset")):
+                a, b = np.frombuffer(own.as_py(), np.uint64), np.frombuffer(other.as_py(), np.uint64)
+                shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                union = len(a) + len(b) - shared
+                rows.append((shared / union, 100 * shared >= percent * union, 100 * shared < (2 * percent - 100) * union))
+            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.float64(), pa.bool_(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in ("c", "grp", "centre")] + made, ["c", "grp", "centre", "like", "near", "far"])
+
+    rows = sets.join(centres, "grp").select("c", "grp", "shingles", "centre", "cset")
+    return cut(rows.mapInArrow(judge, "c long, grp long, centre long, like double, near boolean, far boolean"))
+
+
+def _starred_groups(sets: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of large groups (c, grp, shingles): links to two centres, and the rows for _paired.
+
+    The second centre is the class nearest to the first, which is any: where texts are copies of
+    one, that is the one they are copies of."""
+    pick = lambda of, best: of.groupBy("grp").agg(best.alias("centre")).join(sets.select(F.col("grp"), F.col("c").alias("centre"), F.col("shingles").alias("cset")), ["grp", "centre"])
+    first = _compared(sets, pick(sets, F.min("c")), percent)
+    second = _compared(sets, pick(first.filter("c != centre"), F.max_by("c", F.struct("like", "c"))), percent)
+    links = first.unionByName(second).filter("near AND c != centre").select(F.col("c").alias("u"), F.col("centre").alias("v"))
+    counts = second.groupBy("grp").agg(_blocks(F.count_if("near"), size).alias("close"), _blocks(F.count_if(~F.col("near")), size).alias("rest"))
+    rows = second.select("c", "grp", "near", "far").join(counts, "grp").filter("rest > 0").join(sets, ["c", "grp"])
+    return links, rows.select("c", "grp", "shingles", "near", "far", "close", "rest")
 
 
 def near_duplicates(df: DataFrame, percent: int = PERCENT, k: int = WORDS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,46 +358,63 @@ def rooted_duplicates(df: DataFrame, percent: int = PERCENT, k: int = WORDS, blo
     share it. Null for texts without words."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
-    signed = cut(keyed.mapInArrow(lambda b: _signed(b, k), "doc_id long, tkey long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary"))
-
-    # Classes of equal sets. Their number is a hash of the set; tkey finds a text that has it.
-    cls = F.xxhash64("s1", "s2", "n_shingles")
-    classes = cut(
-        signed.filter("n_shingles > 0")
-        .groupBy(cls.alias("c"))
-        .agg(F.min("doc_id").alias("least"), F.min("tkey").alias("tkey"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    )
+    columns = "doc_id long, tkey long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary, exact array<long>"
+    signed = cut(keyed.mapInArrow(lambda b: _signed(b, k, percent), columns))
+
+    # Classes of equal sets, told apart by two digests and the size, and numbered as they are stored. tkey finds a text.
+    same = ["s1", "s2", "n_shingles"]
+    first = lambda c: F.first(c).alias(c)
+    classes = signed.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("least"), F.min("tkey").alias("tkey"), first("bands"), first("sig"), first("exact"))
+    classes = cut(classes.withColumn("c", F.monotonically_increasing_id()))
+
+    # Candidates: stars of buckets, and of exact keys.
     entries = classes.select("c", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"))
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     entries = entries.join(shared, "bucket").join(classes.select("c", "sig"), "c")
-    paired = _paired(entries).select("bucket", "x", "y", "side", "c", "sig").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    groups = components(paired.mapInArrow(_stars, "u long, v long"))
+    whole = {"near": F.lit(False), "far": F.lit(False), "close": F.lit(0), "rest": F.lit(1)}
+    large = cut(entries.filter(F.col("n") > BUCKET_BLOCK).select("bucket", "c", "sig"))
+    few, stars = entries.filter(F.col("n") <= BUCKET_BLOCK).select("bucket", "c", "sig").withColumns(whole), None
+    if not large.isEmpty():
+        stars, left = _starred_buckets(large, BUCKET_BLOCK)
+        few = few.unionByName(left)
+    paired = _paired(few).select("bucket", "x", "y", "side", "c", "sig").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    keys = classes.filter("exact IS NOT NULL").select("c", F.explode("exact").alias("key"))
+    centres = keys.groupBy("key").agg(F.min("c").alias("v"), F.count("*").alias("n")).filter("n > 1").select("key", "v")
+    small = keys.join(centres, "key").select(F.col("c").alias("u"), "v")
+    candidates = paired.mapInArrow(_stars, "u long, v long").unionByName(small)
+    groups = components(candidates.unionByName(stars) if stars else candidates)
     members = groups.select(F.col("u").alias("c"), F.col("component").alias("grp")).unionByName(
         groups.select(F.col("component").alias("c"), F.col("component").alias("grp")).distinct()
     )
-    counts = members.groupBy("grp").agg(F.count("*").alias("n")).select("grp", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    wanted = members.join(counts, "grp").join(classes.select("c", "tkey"), "c").select("tkey", "c", "grp", "blocks")
+    counts = members.groupBy("grp").agg(F.count("*").alias("n"))
+    wanted = members.join(counts, "grp").join(classes.select("c", "tkey"), "c").select("tkey", "c", "grp", "n")
     # One text of each class in a group; texts equal to it are left out by the distinct.
-    texts = keyed.select("tkey", "text").join(wanted, "tkey").dropDuplicates(["c"]).select("text", "c", "grp", "blocks")
-    sized = texts.mapInArrow(lambda b: _sized(b, k), "c long, grp long, blocks int, shingles binary")
-    copies = _paired(sized).select("c", "grp", "x", "y", "side", "shingles")
+    def sets_in(some: DataFrame) -> DataFrame:
+        texts = keyed.select("tkey", "text").join(some, "tkey").dropDuplicates(["c"]).select("text", "c", "grp", "n")
+        return texts.mapInArrow(lambda b: _sized(b, k), "c long, grp long, n long, shingles binary").select("c", "grp", "shingles")
+
+    few, links = sets_in(wanted.filter(F.col("n") <= block)).withColumns(whole), None
+    if not counts.filter(F.col("n") > block).isEmpty():
+        links, left = _starred_groups(cut(sets_in(wanted.filter(F.col("n") > block))), block, percent)
+        few = few.unionByName(left)
+    copies = _paired(few)
 
     def confirm(t: pa.Table) -> pa.Table:
-        ids = t.column("c").to_numpy()
-        sets = [np.frombuffer(s.as_py(), np.uint64) for s in t.column("shingles")]
-        links = linked(sets, t.column("side").to_pylist(), percent)
-        return pa.table({"u": pa.array([int(ids[a]) for a, _ in links], pa.int64()), "v": pa.array([int(ids[b]) for _, b in links], pa.int64())})
+        ids, side = t.column("c").to_numpy(), t.column("side").to_pylist()
+        lone = t.column("cross")[0].as_py() and len(set(side)) < 2
+        found = [] if lone else linked([np.frombuffer(s.as_py(), np.uint64) for s in t.column("shingles")], side, percent)
+        return pa.table({"u": pa.array([int(ids[a]) for a, _ in found], pa.int64()), "v": pa.array([int(ids[b]) for _, b in found], pa.int64())})
 
-    found = components(copies.groupBy("grp", "x", "y").applyInArrow(confirm, "u long, v long"))
+    linked_pairs = copies.groupBy("grp", "x", "y").applyInArrow(confirm, "u long, v long")
+    found = components(linked_pairs.unionByName(links) if links else linked_pairs)
 
     # Components are numbered by the least id in them.
-    of_class = classes.select("c", "least").join(found.select(F.col("u").alias("c"), "component"), "c", "left").withColumn("root", F.coalesce("component", "c"))
+    of_class = classes.select("c", *same, "least").join(found.select(F.col("u").alias("c"), "component"), "c", "left").withColumn("root", F.coalesce("component", "c"))
     least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of_class.join(least, "root").select("c", "root", "component_id")
+    named = of_class.join(least, "root").select(*same, "root", "component_id")
     return (
-        signed.drop("bands", "sig")
-        .withColumn("c", F.when(F.col("n_shingles") > 0, cls))
-        .join(named, "c", "left")
+        signed.select("doc_id", "tkey", *same)
+        .join(named, same, "left")
         .select("doc_id", "tkey", "n_shingles", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
