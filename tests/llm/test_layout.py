@@ -60,6 +60,15 @@ def test_one_group_may_hold_all_rows(spark):
     assert sorted(counts) == [125] * 8
 
 
+@pytest.mark.parametrize("slack,most,beside", [(0.0, 0.2, 0.06), (0.25, 0.15, 0.02)])
+def test_few_rows_move_when_a_shard_is_added(spark, slack, most, beside):
+    """A ninth shard has to take a ninth of all rows; few others move, with room to spare hardly any."""
+    df = spark.range(6000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    before, after = ({r["doc_id"]: r["shard"] for r in sharding.shard(df, k, slack=slack).collect()} for k in (8, 9))
+    moved = [i for i in before if before[i] != after[i]]
+    assert len(moved) < most * 6000 and sum(after[i] != 8 for i in moved) < beside * 6000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=40), max_size=12), st.sampled_from(["byte", "bit"]), st.sampled_from([8, 16]))
 def test_planes_round_trip(docs, unit, block):

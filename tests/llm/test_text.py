@@ -10,6 +10,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tidemark.llm import license_scan, piece_codec, quality_rules
 
 from .cases import documents, empty
@@ -85,6 +86,16 @@ def test_license_texts_are_found_with_changes(spark):
     assert rows[1]["spans"][0]["first_word"] == 3
 
 
+def test_a_hash_alone_is_no_vote(spark, monkeypatch):
+    """With a hash that all k-grams share, words still decide."""
+    text = "x mit license y gnu general public license"
+    df = spark.createDataFrame([(1, text), (2, "mit y license gnu general public")], "doc_id long, text string")
+    want = {r["doc_id"]: (r["n_base"], r["labels"]) for r in license_scan.scan(df).collect()}
+    real = F.xxhash64
+    monkeypatch.setattr(license_scan.F, "xxhash64", lambda *c: real(F.lit(0)) if len(c) > 1 else real(*c))
+    assert {r["doc_id"]: (r["n_base"], r["labels"]) for r in license_scan.scan(df).collect()} == want == {1: (2, "gpl,mit"), 2: (0, "")}
+
+
 def base_of(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

@@ -55,27 +55,29 @@ def words_of(text):
 
 
 def rolling(df: DataFrame, words: str, keep: list[str]) -> DataFrame:
-    """keep, p (position; null for a text without words), h2 and h4: hashes of the k-grams that start there, null beyond the end.
+    """keep, p (position; null for a text without words), word, and h2, h4: hashes of the k-grams that start there, with their last words, null beyond the end.
 
     Words become longs first, and a k-gram is a row of an array zipped with itself moved on, so
     that all that is done for each position runs in generated code."""
     h = F.transform(words, lambda w: F.xxhash64(w))
-    moved = [F.col("_h")] + [F.slice("_h", F.lit(i + 1), F.greatest(F.size("_h") - i, F.lit(0))) for i in range(1, TEMPLATE_K)]
-    zipped = df.select(*keep, h.alias("_h")).select(*keep, F.arrays_zip(*[m.alias(f"w{i}") for i, m in enumerate(moved)]).alias("_z"))
+    on = lambda c, i: F.col(c) if not i else F.slice(c, F.lit(i + 1), F.greatest(F.size(c) - i, F.lit(0)))
+    parts = [on("_h", i).alias(f"w{i}") for i in range(TEMPLATE_K)] + [on(words, i).alias(f"s{i}") for i in (0, PHRASE_K - 1, TEMPLATE_K - 1)]
+    zipped = df.select(*keep, words, h.alias("_h")).select(*keep, F.arrays_zip(*parts).alias("_z"))
     at = zipped.select(*keep, F.posexplode_outer("_z").alias("p", "z"))
-    gram = lambda k: F.when(F.col(f"z.w{k - 1}").isNotNull(), F.xxhash64(F.lit(k), *[F.col(f"z.w{i}") for i in range(k)]))
-    return at.select(*keep, "p", gram(PHRASE_K).alias("h2"), gram(TEMPLATE_K).alias("h4"))
+    hash_ = lambda k: F.when(F.col(f"z.w{k - 1}").isNotNull(), F.xxhash64(F.lit(k), *[F.col(f"z.w{i}") for i in range(k)]))
+    gram = lambda k: F.struct(hash_(k).alias("h"), F.col(f"z.s{k - 1}").alias("last"))
+    return at.select(*keep, "p", F.col("z.s0").alias("word"), gram(PHRASE_K).alias("h2"), gram(TEMPLATE_K).alias("h4"))
 
 
 def template_grams(spark: SparkSession, phrases: dict[str, str], templates: dict[str, str]) -> DataFrame:
-    """h, t (label), tp (position), tw (words), tg (k-grams), base."""
+    """h, t (label), tp (position), first_ and last_ (words), tw (words in all), tg (k-grams), base."""
     texts = [(label, text, True) for text, label in phrases.items()] + [(label, text, False) for label, text in templates.items()]
     df = spark.createDataFrame(texts, "t string, text string, base boolean").withColumn("w", words_of(F.col("text")))
     k = F.when(F.col("base"), PHRASE_K).otherwise(TEMPLATE_K)
     df = df.select("t", "base", "w", F.size("w").alias("tw"), (F.size("w") - k + 1).alias("tg"))
-    every = rolling(df, "w", ["t", "base", "tw", "tg"]).withColumn("h", F.when(F.col("base"), F.col("h2")).otherwise(F.col("h4")))
-    known = every.filter("h IS NOT NULL").select("h", "t", F.col("p").alias("tp"), "tw", "tg", "base")
-    all_texts = spark.createDataFrame([("", 0, 0, 0, False)], "t string, tp int, tw int, tg int, base boolean")
+    every = rolling(df, "w", ["t", "base", "tw", "tg"]).withColumn("g", F.when(F.col("base"), F.col("h2")).otherwise(F.col("h4")))
+    known = every.filter("g.h IS NOT NULL").select("g.h", "t", F.col("p").alias("tp"), F.col("word").alias("first_"), F.col("g.last").alias("last_"), "tw", "tg", "base")
+    all_texts = spark.createDataFrame([("", 0, None, None, 0, 0, False)], "t string, tp int, first_ string, last_ string, tw int, tg int, base boolean")
     return known.unionByName(all_texts.withColumn("h", F.xxhash64(F.lit("every text"))))
 
 
@@ -92,9 +94,10 @@ def scan(df: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str,
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), words_of(text_of(text_col)).alias("_w")).withColumn("_row", F.monotonically_increasing_id())
     named = rows.select("_row", "doc_id", F.size("_w").cast("long").alias("n_words"), "_w")
     at = rolling(named, "_w", ["_row", "doc_id", "n_words"])
-    every = F.when(F.coalesce(F.col("p"), F.lit(0)) == 0, F.xxhash64(F.lit("every text")))
-    hashed = at.select("_row", "doc_id", "n_words", F.coalesce("p", F.lit(0)).alias("p"), F.explode(F.array("h2", "h4", every)).alias("h"))
-    hits = hashed.join(known, "h")
+    every = F.struct(F.when(F.coalesce(F.col("p"), F.lit(0)) == 0, F.xxhash64(F.lit("every text"))).alias("h"), F.lit(None).cast("string").alias("last"))
+    hashed = at.select("_row", "doc_id", "n_words", F.coalesce("p", F.lit(0)).alias("p"), "word", F.explode(F.array("h2", "h4", every)).alias("g"))
+    hashed = hashed.select("_row", "doc_id", "n_words", "p", "word", "g.h", "g.last")
+    hits = hashed.join(known, "h").filter("t = '' OR (word = first_ AND last = last_)")
     by_diagonal = hits.groupBy("_row", "doc_id", "n_words", "t", "base", "tw", "tg", (F.col("p") - F.col("tp")).alias("d")).agg(
         F.count_distinct("tp").alias("votes"), F.min("tp").alias("lo"), F.max("tp").alias("hi"), F.collect_set("tp").alias("tps")
     )
