@@ -15,37 +15,53 @@ from tidemark.llm.quality_rules import apply, fit, statistics
 
 def settled(df: DataFrame, condition: str) -> DataFrame:
     """Filter by columns as they are: without the row number, the optimizer would push the condition below the
-    projections that make them and put their whole expressions, many times over, in its place."""
-    return df.withColumn("_at", F.monotonically_increasing_id()).filter(f"({condition}) AND _at >= 0").drop("_at")
+    projections that make them and put their whole expressions, many times over, in its place.
+
+    Rows whose condition is null go; all columns come out as they are, and an empty table stays empty."""
+    at = "_at"
+    while at in df.columns:
+        at += "_"
+    return df.withColumn(at, F.monotonically_increasing_id()).filter(f"({condition}) AND {at} >= 0").drop(at)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base checks and no rule of the learned list rejects; a null text goes."""
+    """Documents that pass the base checks and no rule of the learned list rejects; a null text goes.
+
+    Null ids and repeated rows are judged like others; columns come out as they are, whatever their names."""
     rules = fit(docs, table(spark, sf_dir, "labels"))
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("_text"))
     return settled(apply(statistics(whole, ["_doc"], "_text"), rules), "kept").select("_doc.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without runs of 50 words or more that an earlier one has; those left without a word by that go."""
-    out = settled(dedup_lines(docs), r"NOT (n_removed > 0 AND NOT regexp_like(text, '[^\\x20\\x09-\\x0D]'))")
-    text = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))}
-    return out.select(*[text.get(c, F.col(c)).alias(c) for c in docs.columns])
+    """Documents without runs of 50 words or more that an earlier one has; those left without a word by that go.
+
+    Null and empty texts stay. Other columns come out as they are, but for n_chars of a text that changed."""
+    rest = F.struct(*[c for c in docs.columns if c != "text"])
+    out = settled(dedup_lines(docs.select(rest.alias("_doc"), "doc_id", "text")), r"NOT (n_removed > 0 AND NOT regexp_like(text, '[^\\x20\\x09-\\x0D]'))")
+    made = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("_doc.n_chars"))
+    return out.select(*[(made[c] if c in made else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least id (then text hash)."""
-    id_none = {"_id": F.coalesce("doc_id", F.lit(-1)), "_none": F.col("doc_id").isNull()}
-    kept = rooted_duplicates(docs).filter("kept").withColumns(id_none)
-    alone = kept.filter("n_shingles = 0").select("_id", "_none", F.col("tkey").alias("_key")).distinct()
-    first = kept.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct("_none", "_id", "tkey")).alias("f"))
-    keys = alone.unionByName(first.select("f._id", "f._none", F.col("f.tkey").alias("_key")))
-    named = docs.withColumns(id_none | {"_key": F.xxhash64(text_of("text"))})
-    return named.join(keys, ["_id", "_none", "_key"], "left_semi").dropDuplicates(["_id", "_none", "_key"]).select(*docs.columns)
+    """One document of each group of near-duplicates, the one with the least id (then text hash).
+
+    A document without words is near none but its own repetitions (equal id and text), of which one
+    stays. Null ids come after others; groups are told apart by themselves, not by their ids. Columns
+    come out as they are, whatever their names."""
+    none, least = F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id")
+    kept = rooted_duplicates(docs).filter("kept").select(none, least, "tkey", "root", "n_shingles")
+    alone = kept.filter("n_shingles = 0").select("none", "id", "tkey").distinct()
+    first = kept.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct("none", "id", "tkey")).alias("f"))
+    keys = alone.unionByName(first.select("f.*"))
+    named = docs.select(F.struct(*docs.columns).alias("doc"), none, least, F.xxhash64(text_of("text")).alias("tkey"))
+    return named.join(keys, ["none", "id", "tkey"], "left_semi").dropDuplicates(["none", "id", "tkey"]).select("doc.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces in sequences of 2048 tokens."""
+    """Every document's pieces in sequences of 2048 tokens; a null or empty text has its end id, null ids and repeated rows are packed each."""
     return pack(docs, vocabulary("byte_bpe_50k.json"), end_id=1)
 
 
