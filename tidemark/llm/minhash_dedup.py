@@ -389,14 +389,14 @@ def rooted_duplicates(df: DataFrame, percent: int = PERCENT, k: int = WORDS, blo
     counts = members.groupBy("grp").agg(F.count("*").alias("n"))
     wanted = members.join(counts, "grp").join(classes.select("c", "tkey"), "c").select("tkey", "c", "grp", "n")
     # One text of each class in a group; texts equal to it are left out by the distinct.
-    def sets_in(some: DataFrame) -> DataFrame:
-        texts = keyed.select("tkey", "text").join(some, "tkey").dropDuplicates(["c"]).select("text", "c", "grp", "n")
-        return texts.mapInArrow(lambda b: _sized(b, k), "c long, grp long, n long, shingles binary").select("c", "grp", "shingles")
-
-    few, links = sets_in(wanted.filter(F.col("n") <= block)).withColumns(whole), None
-    if not counts.filter(F.col("n") > block).isEmpty():
-        links, left = _starred_groups(cut(sets_in(wanted.filter(F.col("n") > block))), block, percent)
-        few = few.unionByName(left)
+    texts = keyed.select("tkey", "text").join(wanted, "tkey").dropDuplicates(["c"]).select("text", "c", "grp", "n")
+    sets_of_texts = lambda some: some.mapInArrow(lambda b: _sized(b, k), "c long, grp long, n long, shingles binary").select("c", "grp", "shingles")
+    if counts.filter(F.col("n") > block).isEmpty():
+        few, links = sets_of_texts(texts).withColumns(whole), None
+    else:
+        texts = cut(texts)  # read twice, while all texts are dealt but once
+        links, left = _starred_groups(cut(sets_of_texts(texts.filter(F.col("n") > block))), block, percent)
+        few = sets_of_texts(texts.filter(F.col("n") <= block)).withColumns(whole).unionByName(left)
     copies = _paired(few)
 
     def confirm(t: pa.Table) -> pa.Table:
