@@ -36,17 +36,21 @@ def round_step(price: Column, digits: int | None = None) -> Column:
     return F.pow(F.lit(10.0), F.floor(F.log10(price))) / 20
 
 
-def price_structure(bars: DataFrame, digits: int | None = None, gap_atr: float = 0.10, session_hours: int = 8) -> DataFrame:
-    """ps_ columns at the close: distances to the previous day's and session's extremes and to round numbers, gap and its fill, in ATRs of the bar before."""
+def price_structure(bars: DataFrame, digits: int | None = None, gap_atr: float = 0.10, session_hours: int = 8, look_back: int = 6) -> DataFrame:
+    """ps_ columns at the close: distances to the previous day's and session's extremes and to round numbers, gap and its fill, in ATRs of the bar before.
+
+    The previous session is the last one with bars, null if it lies more than look_back sessions back."""
     w = by_bar()
-    day, session = F.to_date("time"), F.concat_ws("-", F.to_date("time").cast("string"), F.floor(F.hour("time") / session_hours).cast("string"))
+    day, session = F.to_date("time"), F.floor(F.unix_timestamp(F.col("time").cast("timestamp")) / (3600 * session_hours))
     df = bars.withColumn("_day", day).withColumn("_ses", session)
     num = lambda c: F.col(c).cast("double")
 
     def previous(part: str, p: str) -> DataFrame:
         each = df.groupBy("symbol", part).agg(F.max(num("high")).alias("h"), F.min(num("low")).alias("l"), F.max_by(num("close"), "bar_idx").alias("c"), F.min_by(num("open"), "bar_idx").alias("o"), F.min("bar_idx").alias("b"))
         lag = Window.partitionBy("symbol").orderBy("b")
-        return each.select("symbol", part, F.lag("h").over(lag).alias(f"_{p}h"), F.lag("l").over(lag).alias(f"_{p}l"), F.lag("c").over(lag).alias(f"_{p}c"), F.col("o").alias(f"_{p}o"))
+        near = F.col(part) - F.lag(part).over(lag) <= look_back if part == "_ses" else F.lit(True)
+        before = lambda c: F.when(near, F.lag(c).over(lag))
+        return each.select("symbol", part, before("h").alias(f"_{p}h"), before("l").alias(f"_{p}l"), F.lag("c").over(lag).alias(f"_{p}c"), F.col("o").alias(f"_{p}o"))
 
     df = df.join(previous("_day", "d"), ["symbol", "_day"]).join(previous("_ses", "s"), ["symbol", "_ses"])
     today = Window.partitionBy("symbol", "_day").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)

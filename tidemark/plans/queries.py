@@ -331,6 +331,17 @@ def m1_simulate(spark, sf):
     return rounded(_trades(spark, sf)[0].drop("direction"))
 
 
+ATR_COSTS = simulate.Costs(slippage=0.1, spread_atr_mult=0.05, sessions=COSTS.sessions)
+_ATR_HALF = HALF.replace("(0.4 *", "(0.05::DOUBLE * atr *")
+
+
+@query(f"WITH {_TRADES.replace(HALF, _ATR_HALF)} SELECT symbol, cond_id, bar_idx, exit_idx, {r('pnl', 'r')} FROM tr")
+def m5_atr_costs(spark, sf):
+    """Spreads by the ATR and the session."""
+    b = full_bars(spark, sf)
+    return rounded(simulate.simulate(hits(b), b, ATR_COSTS, 7).drop("direction", "outcome"))
+
+
 def _stats_sql(source: str) -> str:
     return f"""e AS (SELECT *, sum(pnl) OVER w AS eq FROM {source} WINDOW w AS (PARTITION BY symbol, cond_id ORDER BY bar_idx ROWS UNBOUNDED PRECEDING)),
     dd AS (SELECT *, max(eq) OVER (PARTITION BY symbol, cond_id ORDER BY bar_idx ROWS UNBOUNDED PRECEDING) - eq AS fall FROM e),
@@ -514,10 +525,10 @@ _LEVELS = {f"ps_dist_{n}_atr": f"({x} - close::DOUBLE) / a" for n, x in (("pdh",
 
 
 @query(
-    f"""WITH {INDICATORS}, t AS (SELECT *, time::DATE AS dy, time::DATE || '-' || (hour(time) // 8) AS ses FROM ind),
+    f"""WITH {INDICATORS}, t AS (SELECT *, time::DATE AS dy, epoch(time)::BIGINT // 28800 AS ses FROM ind),
     dd AS (SELECT symbol, dy, max(high)::DOUBLE AS h, min(low)::DOUBLE AS l, arg_max(close, bar_idx)::DOUBLE AS c, arg_min(open, bar_idx)::DOUBLE AS o, min(bar_idx) AS b FROM t GROUP BY 1, 2),
     dl AS (SELECT symbol, dy, lag(h) OVER w AS dh, lag(l) OVER w AS dl, lag(c) OVER w AS dc, o AS dopen FROM dd WINDOW w AS (PARTITION BY symbol ORDER BY b)),
-    ss AS (SELECT symbol, ses, max(high)::DOUBLE AS h, min(low)::DOUBLE AS l, min(bar_idx) AS b FROM t GROUP BY 1, 2), sl AS (SELECT symbol, ses, lag(h) OVER w AS sh, lag(l) OVER w AS sl FROM ss WINDOW w AS (PARTITION BY symbol ORDER BY b)),
+    ss AS (SELECT symbol, ses, max(high)::DOUBLE AS h, min(low)::DOUBLE AS l, min(bar_idx) AS b FROM t GROUP BY 1, 2), sl AS (SELECT symbol, ses, CASE WHEN ses - lag(ses) OVER w <= 6 THEN lag(h) OVER w END AS sh, CASE WHEN ses - lag(ses) OVER w <= 6 THEN lag(l) OVER w END AS sl FROM ss WINDOW w AS (PARTITION BY symbol ORDER BY b)),
     j0 AS (SELECT t.*, lag(atr_14) OVER (PARTITION BY symbol ORDER BY bar_idx)::DOUBLE AS at0 FROM t),
     j AS (SELECT j0.*, dh, dl.dl, dc, dopen, sh, sl.sl, CASE WHEN at0 > 0 THEN at0 END AS a, dopen - dc AS gap, max(high) OVER w::DOUBLE AS th, min(low) OVER w::DOUBLE AS tl, power(10.0, floor(log10(close::DOUBLE))) / 20 AS st FROM j0 JOIN dl ON j0.symbol = dl.symbol AND j0.dy = dl.dy JOIN sl ON j0.symbol = sl.symbol AND j0.ses = sl.ses WINDOW w AS (PARTITION BY j0.symbol, j0.dy ORDER BY bar_idx ROWS UNBOUNDED PRECEDING))
     SELECT symbol, bar_idx, {', '.join(f'round(({x})::FLOAT, 3) AS {c}' for c, x in _LEVELS.items())},
@@ -594,6 +605,17 @@ def a23_a25_backtest_summary(spark, sf):
     return rounded(backtest.full_summary(t, backtest.curves(t, b), t), 3)
 
 
+_RANGE = "2024-01-05 06:00:00", "2024-01-12 18:00:00"
+_RANGED = _BT.replace("FROM hits WHERE bar_idx + 1 < n)", f"FROM hits JOIN (SELECT symbol, min(bar_idx) FILTER (time >= TIMESTAMP '{_RANGE[0]}') AS lo, max(bar_idx) FILTER (time <= TIMESTAMP '{_RANGE[1]}') AS last FROM bars GROUP BY 1) USING (symbol) WHERE bar_idx + 1 BETWEEN lo AND last)")
+
+
+@query(f"WITH RECURSIVE {_RANGED} SELECT symbol, ea_id, direction, entry_idx, exit_idx, round(profit, 4) AS profit FROM bt WHERE exit_time <= TIMESTAMP '{_RANGE[1]}'")
+def p25_date_range(spark, sf):
+    b = asof.align_spread(hourly(spark, sf), _spread_table(spark, sf), 30.0, ["symbol"])
+    signals = hits(indicators(spark, sf)).select("symbol", F.col("cond_id").alias("ea_id"), "direction", "bar_idx")
+    return rounded(backtest.backtest(signals, b, 6, TESTER, *_RANGE).select("symbol", "ea_id", "direction", "entry_idx", "exit_idx", "profit"), 4)
+
+
 @query(f"WITH RECURSIVE {_CURVES} SELECT symbol, ea_id, bar_idx // 50 AS bucket, round(arg_min(equity, bar_idx), 4) AS first, round(min(equity), 4) AS low, round(max(equity), 4) AS high, round(arg_max(equity, bar_idx), 4) AS last FROM cv GROUP BY 1, 2, 3")
 def m7_curves(spark, sf):
     t, b = _backtest(spark, sf)
@@ -766,6 +788,17 @@ def c1_edge_report(spark, sf):
     return rounded(rep.select("symbol", "cond_id", F.size("horizons").cast("long").alias("n_horizons"), F.array_max(F.transform("horizons", lambda h: h["effect_size"])).alias("best_effect")))
 
 
+@query(
+    f"""WITH {_P}, best AS (SELECT symbol, cond_id, arg_max(horizon, struct_pack(a := effect_size, b := -(ci_high - ci_low), c := -horizon)) AS optimal_horizon FROM pa WHERE abs(z) > 0.5 GROUP BY 1, 2),
+    cd AS (SELECT DISTINCT symbol, cond_id FROM pa)
+    SELECT cd.symbol, cd.cond_id, optimal_horizon, nn AS n, {r('prob_bull', 'base_prob', 'effect_size', 'ci_low', 'ci_high', 'p_value', 'p_adj')} FROM cd LEFT JOIN best USING (symbol, cond_id) LEFT JOIN pa ON pa.symbol = cd.symbol AND pa.cond_id = cd.cond_id AND pa.horizon = optimal_horizon"""
+)
+def c2_summary_table(spark, sf):
+    s = _significance(spark, sf).withColumn("significant", F.abs("z") > 0.5)
+    out = report.summary_table(s, outcomes.optimal_horizon(s))
+    return rounded(out.select("symbol", "cond_id", "optimal_horizon", "n", "prob_bull", "base_prob", "effect_size", "ci_low", "ci_high", "p_value", "p_adj"))
+
+
 @query()
 def c4_c6_expert_advisors(spark, sf):
     rows = [(k, report.magic_number(str(k)), outputs.advisor({"edge_id": str(k), "condition": t, "direction": "long" if k % 2 == 0 else "short", "best_horizon": 7})) for k, t in enumerate(TEXTS)]
