@@ -68,7 +68,8 @@ def test_backtest_after_a_run(bars, spark, tmp_path):
     df = spark.createDataFrame([(1, "rsi_14 < 30", "long", 3), (2, "none < 1", "long", 3), (3, None, "long", 3)], "rank int, condition string, direction string, holding_bars int")
     df.coalesce(1).write.option("header", True).csv(str(tmp_path / "top"))
     out = runs.auto_backtest(spark, bars, str(tmp_path / "top"), "ranking", str(tmp_path / "bt"), Settings(spread_points=1.0)).collect()
-    assert [(r["rank"], r["condition"]) for r in out] == [(1, "rsi_14 < 30")] and out[0]["n_trades"] > 50
+    assert [(r["rank"], r["condition"]) for r in out] == [(1, "rsi_14 < 30")] and out[0]["n_trades"] > 50 and out[0]["equity_dd"] > 0
+    assert (tmp_path / "bt" / "charts" / "X_01.svg").read_text().startswith("<svg") and spark.read.option("header", True).csv(str(tmp_path / "bt" / "curves")).count() == 2400
     assert runs.try_auto_backtest(spark, bars, str(tmp_path / "nothing"), "ranking", str(tmp_path / "b2"), Settings()) is None
     assert runs.missing_columns([{"condition": "none < 1"}], bars) == ["#1 skipped, no column none"]
 

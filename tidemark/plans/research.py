@@ -246,12 +246,18 @@ def rank_windows(results: DataFrame, settings: rank.Ranking = rank.Ranking(), ov
     return rank.rank_window(rows, settings, ("symbol", "window_label"))
 
 
+def spread_bars(bars: DataFrame, tester: backtest.Tester, spreads: DataFrame | None = None) -> DataFrame:
+    """Bars with their spread (points): their own column, else that of spreads (symbol, time, spread), else the tester's."""
+    if "spread" in bars.columns:
+        return bars
+    known = spreads if spreads is not None else bars.sparkSession.createDataFrame([], "symbol string, time timestamp, spread double")
+    return asof.align_spread(bars, known, tester.spread_points, ["symbol"])
+
+
 def backtest_conditions(bars: DataFrame, rows: list[dict], tester: backtest.Tester, spreads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Trades and summary of (condition, direction, holding) rows; those with columns that bars lack are left out."""
     known = [(k, r) for k, r in enumerate(rows) if set(parse_condition(r["condition"]).columns) <= set(bars.columns)]
-    if "spread" not in bars.columns:
-        by_symbol = spreads if spreads is not None else bars.sparkSession.createDataFrame([], "symbol string, time timestamp, spread double")
-        bars = asof.align_spread(bars, by_symbol, tester.spread_points, ["symbol"]).join(bars.drop("n"), ["symbol", "bar_idx", "time"], "left_semi")
+    bars = spread_bars(bars, tester, spreads)
     trades = None
     for hold in sorted({r["holding"] for _, r in known}):
         some = [(k, r) for k, r in known if r["holding"] == hold]

@@ -15,8 +15,8 @@ from ..operators import backtest, gate, validate
 from ..operators.predicates import parse_condition
 from ..session import cut
 from ..sources.files import write_results
-from .outputs import read_gate
-from .research import Config, backtest_conditions, research, retrade
+from .outputs import chart_svg, read_gate
+from .research import Config, backtest_conditions, research, retrade, spread_bars
 
 log = logging.getLogger(__name__)
 
@@ -148,21 +148,51 @@ def missing_columns(rows: Sequence[Mapping], bars: DataFrame) -> list[str]:
 
 
 def auto_backtest(spark: SparkSession, bars: DataFrame, path: str, source: str, folder: str, tester: backtest.Tester, top: int = 20, spreads: DataFrame | None = None) -> DataFrame | None:
-    """Backtest a run's best conditions into a folder (trades, summary); None if there are none. Bars that no condition needs are not read."""
+    """Backtest a run's best conditions into a folder (trades, curves, charts, summary); None if there are none. Bars that no condition needs are not read."""
     rows = ranked_rows(spark, path, source, top)
     for w in missing_columns(rows, bars):
         log.warning("backtest: %s", w)
     if not rows or len(missing_columns(rows, bars)) == len(rows):
         return None
-    trades, _ = backtest_conditions(bars, rows, tester, spreads)
-    trades = cut(trades)
+    bars = spread_bars(bars, tester, spreads)
+    trades = cut(backtest_conditions(bars, rows, tester)[0])
     trades.write.mode("overwrite").partitionBy("symbol", "ea_id").option("header", True).csv(f"{folder}/trades")
+    curve = cut(backtest.curves(trades, bars, tester))
+    points = cut(decimated(curve))
+    points.write.mode("overwrite").partitionBy("symbol", "ea_id").option("header", True).csv(f"{folder}/curves")
     names = spark.createDataFrame([(k, k + 1, r["condition"], r["holding"]) for k, r in enumerate(rows)], "ea_id int, rank int, condition string, holding int")
-    summary = cut(backtest.summary(trades).join(names, "ea_id"))
+    symbols = bars.select("symbol").distinct().crossJoin(F.broadcast(names.select("ea_id")))  # a row for each symbol and condition
+    summary = cut(backtest.full_summary(trades, curve, symbols, tester).join(names, "ea_id").join(trades.select("symbol", "ea_id").distinct(), ["symbol", "ea_id"], "left_semi"))
     write_results(summary, f"{folder}/summary", [F.col("rank"), F.col("symbol")])
+    by_ea: dict[tuple, list] = {}
+    for r in points.orderBy("symbol", "ea_id", "bucket").collect():  # CHART_POINTS at most for each
+        by_ea.setdefault((r["symbol"], r["ea_id"]), []).append(r.asDict())
+    write_text(spark, {f"{folder}/charts/{s}_{e + 1:02d}.svg": chart_svg(rs, f"{s} #{e + 1} {rows[e]['condition']}") for (s, e), rs in by_ea.items()})
     return summary
 
 
+#: Points of a chart at most.
+CHART_POINTS = 2500
+
+
+def decimated(curve: DataFrame, points: int = CHART_POINTS) -> DataFrame:
+    """A curve in buckets of one size, so that peaks and troughs still show: first time, last balance, least and greatest equity."""
+    size = curve.groupBy("symbol", "ea_id").agg(F.greatest(F.lit(1), F.ceil((F.max("bar_idx") - F.min("bar_idx") + 1) / points)).alias("_size"))
+    bucket = F.floor(F.col("bar_idx") / F.col("_size"))
+    return curve.join(size, ["symbol", "ea_id"]).groupBy("symbol", "ea_id", bucket.alias("bucket")).agg(
+        F.min("time").alias("time"), F.max_by("balance", "bar_idx").alias("balance"), F.min("equity").alias("low"), F.max("equity").alias("high")
+    )
+
+
+def write_text(spark: SparkSession, files: Mapping[str, str]) -> None:
+    """Small text files where Spark writes."""
+    for path, text in files.items():
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+
 def try_auto_backtest(*args, **kwargs) -> DataFrame | None:
     """auto_backtest as the last step of a run that is done already: its failure is reported, and fails nothing."""
     try:

@@ -92,15 +92,15 @@ def read_bars(spark: SparkSession, path: str, symbol: str, timeframe: str) -> Da
 
 
 def validate_schema(bars: DataFrame) -> dict:
-    """Custom column groups present, empty or missing, values out of range and nulls by column, all in one aggregation; never raises."""
+    """Custom column groups present, empty or missing (and what a group lacks), values out of range and nulls by column, all in one aggregation; never raises."""
     groups = {"volregime": VOLREGIME, "ps": PRICE_STRUCTURE, "news": NEWS}
     have = [c for c in bars.columns if c not in ("symbol", "timeframe", "time")]
     limits = {"volregime_regime": F.col("volregime_regime").isin(0, 1, 2), "volregime_atr_pctl": F.col("volregime_atr_pctl").between(0, 100), "ps_gap_fill_pct": F.col("ps_gap_fill_pct").between(0, 100)}
     aggs = [F.count(c).alias(f"n_{c}") for c in have] + [F.count_if(~ok).alias(f"bad_{c}") for c, ok in limits.items() if c in have]
     row = bars.agg(F.count("*").alias("rows"), *aggs).first()
-    state = lambda cols: "missing" if not set(cols) <= set(have) else "empty" if not any(row[f"n_{c}"] for c in cols) else "present"
+    state = lambda cols: "missing" if not set(cols) & set(have) else "empty" if not any(row[f"n_{c}"] for c in cols if c in have) else "present"
     return {
-        "groups": {g: state(cols) for g, cols in groups.items()}, "missing_ohlc": [c for c in OHLC if c not in have],
+        "groups": {g: state(cols) for g, cols in groups.items()}, "absent": {g: [c for c in cols if c not in have] for g, cols in groups.items() if state(cols) != "missing"}, "missing_ohlc": [c for c in OHLC if c not in have],
         "out_of_range": {c: row[f"bad_{c}"] for c in limits if c in have}, "nulls": {c: row["rows"] - row[f"n_{c}"] for c in have},
     }
 
