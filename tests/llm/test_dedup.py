@@ -171,7 +171,7 @@ def test_every_window_selects_its_least_line(counts, least, seed):
     h, counts = np.array([rng.randrange(5) for _ in counts], np.uint64), np.array(counts, np.int64)
     first, end = line_dedup.windows(counts, least)
     got = line_dedup.selected(h, counts, first, end).tolist()
-    assert got == [min(int(h[i]) for i in range(a, b) if counts[i]) for a, b in zip(first, end)]
+    assert got == [min((i for i in range(a, b) if counts[i]), key=lambda i: (h[i], -i)) for a, b in zip(first, end)]
     # Shortest windows, from each line on and up to each line.
     whole = {(s, e) for s in range(len(counts)) for e in range(s + 1, len(counts) + 1) if sum(counts[s:e]) >= least}
     want = {(s, min(e for a, e in whole if a == s)) for s, _ in whole} | {(max(a for a, b in whole if b == e), e) for _, e in whole}

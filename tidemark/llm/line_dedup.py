@@ -51,16 +51,18 @@ def windows(counts: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarra
 
 
 def selected(hashes: np.ndarray, counts: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The least hash of a line with words in each window, by tables of the least over runs of powers of two."""
+    """Place of the least hash of a line with words (the last one if equal) in each window, by tables over runs of powers of two."""
     size = end - first
-    level = np.zeros(len(size), np.int64) if not len(size) else np.floor(np.log2(size)).astype(np.int64)
-    least = np.where(counts > 0, hashes, np.uint64(2**64 - 1))
-    out = np.empty(len(first), np.uint64)
+    level = np.floor(np.log2(size)).astype(np.int64) if len(size) else np.zeros(0, np.int64)
+    value = np.where(counts > 0, hashes, np.uint64(2**64 - 1))
+    lower = lambda a, b: np.where(value[a] < value[b], a, b)
+    least = np.arange(len(value))
+    out = np.empty(len(first), np.int64)
     for k in range(int(level.max(initial=-1)) + 1):
         at = np.flatnonzero(level == k)
-        out[at] = np.minimum(least[first[at]], least[end[at] - (1 << k)])
+        out[at] = lower(least[first[at]], least[end[at] - (1 << k)])
         if len(least) > 1 << k:
-            least = np.minimum(least[: -(1 << k)], least[1 << k :])
+            least = lower(least[: -(1 << k)], least[1 << k :])
     return out
 
 
@@ -77,20 +79,22 @@ def keys_of(hashes: np.ndarray, counts: np.ndarray, first: np.ndarray, end: np.n
 
 
 def _scanned(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
-    """A row for each fingerprint of a text, with the windows that selected it."""
+    """A row for each selected line of a text, with the windows that selected it."""
     for batch in batches:
         for start, texts in slices_of(batch.column(2)):
-            rows, prints, columns = [], [], []
+            rows, places, prints, columns = [], [], [], []
             for row, text in enumerate(texts):
                 hashes, counts = lines_of(text)
                 first, end = windows(counts, least_words)
+                place = selected(hashes, counts, first, end)
                 rows.append(np.full(len(first), start + row))
-                prints.append(selected(hashes, counts, first, end).view(np.int64))
+                places.append(place)
+                prints.append(hashes[place].view(np.int64))
                 columns.append((first, end, keys_of(hashes, counts, first, end)))
-            row, print_ = np.concatenate(rows), np.concatenate(prints)
-            order = np.lexsort((print_, row))
-            row, print_ = row[order], print_[order]
-            heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (print_[1:] != print_[:-1])])) if len(row) else np.empty(0, np.int64)
+            row, place = np.concatenate(rows), np.concatenate(places)
+            order = np.lexsort((place, row))
+            row, place, print_ = row[order], place[order], np.concatenate(prints)[order]
+            heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1])])) if len(row) else np.empty(0, np.int64)
             first, end, key = (np.concatenate(x)[order] for x in zip(*columns))
             values = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(np.ascontiguousarray(key[:, 0])), pa.array(np.ascontiguousarray(key[:, 1]))], fields=list(WINDOWS.value_type))
             at = pa.array(row[heads], pa.int64())
@@ -106,8 +110,8 @@ def repeated_windows(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     keyed = df.select(order.alias("ord"), F.xxhash64(text_of(text_col)).alias("tkey"), text_of(text_col).alias("text"))
     scanned = cut(keyed.mapInArrow(lambda b: _scanned(b, least_words), "ord long, tkey long, fp long, windows array<struct<first:int,end:int,k1:bigint,k2:bigint>>"))
-    # A window may stand twice in one text: a print with several windows is no less suspect than one in several rows.
-    shared = scanned.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.size("windows")).alias("w")).filter("n > 1 OR w > 1").select("fp")
+    # Equal windows select equal lines at different places, be it in one text or in two.
+    shared = scanned.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
     found = scanned.join(shared, "fp", "left_semi").select("ord", "tkey", F.inline("windows"))
     place = F.struct("ord", "tkey", "first")
     # Equal rows come out equal; their windows have one place.
