@@ -137,6 +137,16 @@ def test_result_files_have_their_columns(spark, tmp_path):
     outputs.write_test_periods(tests, str(tmp_path / "tests"))
     back = outputs.read_test_periods(spark, str(tmp_path / "tests")).collect()
     assert {(r["window_label"], r["condition"], r["n_trades"]) for r in back} == {("run_1/window_0", "a < 1", 9), ("run_1/window_1", "b < 1", 40)}
+    assert runs.rank_run(spark, str(tmp_path / "ranked"), str(tmp_path / "tests"), title="T") == f"{tmp_path}/ranked/ranking.md"
+    text = (tmp_path / "ranked" / "ranking.md").read_text()
+    assert "# T: all windows" in text and "## T: window run_1/window_0" in text and "| a < 1 | long | 5 | 9 |" in text
+    listed = spark.read.option("header", True).csv(str(tmp_path / "ranked" / "top"))
+    assert listed.columns == list(outputs.RANK_COLUMNS) and listed.count() == 2
+    runs.rank_run(spark, str(tmp_path / "single"), str(tmp_path / "no such"), str(tmp_path / "gate"))
+    listed = spark.read.option("header", True).csv(str(tmp_path / "single" / "top"))
+    assert listed.columns == list(outputs.SINGLE_COLUMNS) and {r["warnings"] for r in listed.collect()} == {"no_plateau", "low_frequency;no_plateau;gate_failed"}
+    assert runs.ranked_rows(spark, str(tmp_path / "single" / "top"), "ranking", 5)[0]["condition"] == "b < 1"
+    assert runs.rank_run(spark, str(tmp_path / "none2"), None, str(tmp_path / "none")) is None
     paths = outputs.write_edges(edges, str(tmp_path / "yaml"))
     assert len(paths) == 2 and "condition: a < 1" in open(paths[0]).read() + open(paths[1]).read()
     spread = outputs.expectancy_spread(edges).first()

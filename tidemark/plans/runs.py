@@ -11,11 +11,11 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import backtest, gate, validate
+from ..operators import backtest, gate, rank, validate
 from ..operators.predicates import parse_condition
 from ..session import cut
 from ..sources.files import write_results
-from .outputs import chart_svg, read_gate
+from .outputs import chart_svg, ranking_report, read_gate, read_test_periods, write_ranking
 from .research import Config, backtest_conditions, research, retrade, spread_bars
 
 log = logging.getLogger(__name__)
@@ -122,6 +122,39 @@ def sequences(bars: DataFrame, specs: Sequence[Mapping], config: Config = Config
     return rows, runs
 
 
+def _there(spark: SparkSession, path: str | None) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path) if path else None
+    return at is not None and at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def rank_run(spark: SparkSession, folder: str, tests: str | None = None, gated: str | None = None, title: str = "Ranking", settings: rank.Ranking = rank.Ranking()) -> str | None:
+    """Rank what a run left: the test periods of its windows, else its gate's results; the list as CSV and a report in Markdown.
+
+    Windows have a list each beside that over all of them. Returns the report's path, or None if
+    there is nothing to rank."""
+    windows = read_test_periods(spark, tests) if _there(spark, tests) else None
+    if windows is not None and not windows.isEmpty():
+        windows = cut(windows)
+        top = cut(rank.rank_timeframe(windows, settings))
+        write_ranking(top, f"{folder}/top")
+        # sort_top_n rows at most, and as many for each window.
+        parts = [ranking_report([r.asDict() for r in top.orderBy("rank").collect()], f"{title}: all windows")]
+        by_window: dict[str, list] = {}
+        for r in rank.rank_window(windows, settings).orderBy(rank.natural_key(F.col("window_label")), "rank").collect():
+            by_window.setdefault(r["window_label"], []).append(r.asDict())
+        parts += [ranking_report(rows, f"{title}: window {w}").replace("# ", "## ", 1) for w, rows in by_window.items()]
+    else:
+        rows = read_gate(spark, gated) if _there(spark, gated) else None
+        if rows is None:
+            return None
+        top = cut(rank.rank_window(rows.withColumn("window_label", F.lit("run")), settings, single_run=True))
+        write_ranking(top, f"{folder}/top", single_run=True)
+        note = "Trades, profit factors and expectancies are those of the whole data, in sample; stability and sensitivity do not count.\n"
+        parts = [ranking_report([r.asDict() for r in top.orderBy("rank").collect()], title, single_run=True) + note]
+    write_text(spark, {f"{folder}/ranking.md": "\n".join(parts)})
+    return f"{folder}/ranking.md"
+
+
 def ranked_rows(spark: SparkSession, path: str, source: str, top: int) -> list[dict]:
     """The first conditions of a ranking's or gate's file: condition, direction, holding. Rows without one of them are passed over."""
     if source == "ranking":
