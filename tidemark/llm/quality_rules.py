@@ -30,6 +30,7 @@ SUPPORT = 8
 QUANTILES = 32
 
 SPACES = r"\x20\x09-\x0D"
+SYMBOLS = "#*$%&|<>"
 FEATURES = [
     "n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "richness", "upper_share", "digit_share", "pipe_share", "mark_share", "mean_line",
 ]
@@ -39,25 +40,27 @@ def statistics(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFr
     """The columns of `keep` and the statistics of every row's text; a null text is the empty one.
 
     All are expressions over one array of words. richness, the log of the distinct words over that of
-    all words, hardly falls with the length of clean texts, as the share of distinct words does. Words of repeated windows: 5-word windows are
-    compared by hash, equal neighbours in sorted order give their places, and each place counts
-    the words up to the next one, five at most. That is worked out only where two are equal."""
+    all words, hardly falls with the length of clean texts, as the share of distinct words does. Words of repeated windows: words
+    become longs, 5-word windows are compared by a hash of theirs, equal neighbours in sorted order
+    give their places, and each place counts the words up to the next one, five at most. That is
+    worked out only where two are equal. Characters are counted in what is left of a text without
+    all that is not counted."""
     df = df.select(*keep, text_of(text_col).alias("_t")).withColumn("_w", F.array_remove(F.split("_t", f"[{SPACES}]+"), ""))
-    n = F.size("_w")
-    windows = F.transform(
-        F.when(n >= 5, F.sequence(F.lit(1), n - 4)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.xxhash64(F.slice("_w", i, F.lit(5))),
-    )
+    df = df.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
+    n = F.size("_h")
+    starts = F.when(n >= 5, F.sequence(F.lit(0), n - 5)).otherwise(F.array().cast("array<int>"))
+    windows = F.transform(starts, lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(5)]))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{SPACES}]"))
-    df = df.select(*keep, "_t", "_w", windows.alias("_g"), lines.alias("_l"), F.size(F.array_distinct("_w")).alias("_dw"))
+    marks = F.regexp_replace("_t", f"[^{SYMBOLS}A-Z0-9!?]+", "")
+    df = df.select(*keep, "_t", "_w", windows.alias("_g"), lines.alias("_l"), marks.alias("_c"), F.size(F.array_distinct("_h")).alias("_dw"))
     df = df.withColumn("_dg", F.size(F.array_distinct("_g")))
-    placed = F.array_sort(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i"))))
     df = df.withColumn("_s", F.when(F.col("_dg") < F.size("_g"), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     same = F.filter(
         F.transform("_s", lambda x, k: F.when((F.get("_s", k - 1)["h"] == x["h"]) | (F.get("_s", k + 1)["h"] == x["h"]), x["i"])),
         lambda i: i.isNotNull(),
     )
-    df = df.withColumn("_p", F.array_sort(same))
+    df = df.withColumn("_p", F.sort_array(same))
     covered = F.aggregate(
         F.transform("_p", lambda i, k: F.least(F.lit(5), F.coalesce(F.get("_p", k + 1) - i, F.lit(5)))), F.lit(0), lambda a, b: a + b
     )
@@ -67,15 +70,15 @@ def statistics(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFr
         *keep,
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count("_c", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
         F.size("_l").alias("_lines"),
         F.col("_dw"),
-        share(F.regexp_count("_t", F.lit("[A-Z]")), letters).alias("upper_share"),
-        share(F.regexp_count("_t", F.lit("[0-9]")), letters).alias("digit_share"),
-        share(F.regexp_count("_t", F.lit("[|]")), letters).alias("pipe_share"),
-        share(F.regexp_count("_t", F.lit("[!?]")), letters).alias("mark_share"),
+        share(F.regexp_count("_c", F.lit("[A-Z]")), letters).alias("upper_share"),
+        share(F.regexp_count("_c", F.lit("[0-9]")), letters).alias("digit_share"),
+        share(F.regexp_count("_c", F.lit("[|]")), letters).alias("pipe_share"),
+        share(F.regexp_count("_c", F.lit("[!?]")), letters).alias("mark_share"),
     )
     return df.select(
         "*",
