@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .outcomes import profile
-from .predicates import Atom, Condition
+from .predicates import Condition
 
 
 def windows(bars: DataFrame, train: int, test: int, step: int) -> DataFrame:

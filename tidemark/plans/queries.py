@@ -15,7 +15,7 @@ from ..schema import NEWS, PRICE_STRUCTURE
 from ..session import ship
 from ..streaming.bars import open_positions, stream_bars
 from . import outputs
-from .base import BARS, CONDITIONS, DAILY, H, HOUR, INDICATORS, TEXTS, calendar, daily, full_bars, full_sql, hits, hourly, indicators, nudged, read, rounded, side
+from .base import BARS, CONDITIONS, DAILY, H, HOUR, INDICATORS, TEXTS, calendar, daily, full_bars, full_sql, hits, hourly, indicators, nudged, read, rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
