@@ -52,10 +52,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays. Null ids come after others; groups are told apart by themselves, not by their ids. Columns
     come out as they are, whatever their names."""
     none, least = F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id")
+    key = F.struct("none", "id", "tkey")
     kept = rooted_duplicates(docs).filter("kept").select(none, least, "tkey", "root", "n_shingles")
-    alone = kept.filter("n_shingles = 0").select("none", "id", "tkey").distinct()
-    first = kept.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct("none", "id", "tkey")).alias("f"))
-    keys = alone.unionByName(first.select("f.*"))
+    alone = F.when(F.col("n_shingles") == 0, key).alias("alone")  # these have no root
+    keys = kept.groupBy("root", alone).agg(F.min(key).alias("f")).select("f.*")
     named = docs.select(F.struct(*docs.columns).alias("doc"), none, least, F.xxhash64(text_of("text")).alias("tkey"))
     return named.join(keys, ["none", "id", "tkey"], "left_semi").dropDuplicates(["none", "id", "tkey"]).select("doc.*")
 

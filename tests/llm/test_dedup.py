@@ -7,7 +7,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tidemark.llm import kernels, line_dedup, minhash_dedup
-from tidemark.llm.components import components
+from tidemark.llm.components import _large, _small, components
 
 from .cases import documents, empty
 
@@ -36,6 +36,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_a_round_of_components_deals_links_three_times(spark):
+    # What each exchange leaves on disk besides its rows grows with the tasks before and behind it, however few the links.
+    links = spark.createDataFrame([(3, 1), (3, 2), (5, 3)], "u long, v long")
+    made = _small(_large(links))
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+    assert {tuple(r) for r in made.collect()} == {(2, 1), (3, 1), (5, 1)}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.binary(max_size=40) | st.text(alphabet="aB é\t\n\x0b\x1c", max_size=30).map(str.encode), max_size=6))
 def test_word_hashes(texts):

@@ -29,7 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, text_of
@@ -383,15 +383,16 @@ def rooted_duplicates(df: DataFrame, percent: int = PERCENT, k: int = WORDS, blo
     small = keys.join(centres, "key").select(F.col("c").alias("u"), "v")
     candidates = paired.mapInArrow(_stars, "u long, v long").unionByName(small)
     groups = components(candidates.unionByName(stars) if stars else candidates)
-    members = groups.select(F.col("u").alias("c"), F.col("component").alias("grp")).unionByName(
-        groups.select(F.col("component").alias("c"), F.col("component").alias("grp")).distinct()
-    )
-    counts = members.groupBy("grp").agg(F.count("*").alias("n"))
-    wanted = members.join(counts, "grp").join(classes.select("c", "tkey"), "c").select("tkey", "c", "grp", "n")
+    # A group's classes and their number; the one that others link to comes with the least of those.
+    of = Window.partitionBy("component")
+    sized = groups.select("u", "component", (F.count("*").over(of) + 1).alias("n"), (F.min("u").over(of) == F.col("u")).alias("head"))
+    both = F.when(F.col("head"), F.array("u", "component")).otherwise(F.array("u"))
+    members = cut(sized.select(F.explode(both).alias("c"), F.col("component").alias("grp"), "n"))
+    wanted = members.join(classes.select("c", "tkey"), "c").select("tkey", "c", "grp", "n")
     # One text of each class in a group; texts equal to it are left out by the distinct.
     texts = keyed.select("tkey", "text").join(wanted, "tkey").dropDuplicates(["c"]).select("text", "c", "grp", "n")
     sets_of_texts = lambda some: some.mapInArrow(lambda b: _sized(b, k), "c long, grp long, n long, shingles binary").select("c", "grp", "shingles")
-    if counts.filter(F.col("n") > block).isEmpty():
+    if members.filter(F.col("n") > block).isEmpty():
         few, links = sets_of_texts(texts).withColumns(whole), None
     else:
         texts = cut(texts)  # read twice, while all texts are dealt but once
@@ -410,8 +411,7 @@ def rooted_duplicates(df: DataFrame, percent: int = PERCENT, k: int = WORDS, blo
 
     # Components are numbered by the least id in them.
     of_class = classes.select("c", *same, "least").join(found.select(F.col("u").alias("c"), "component"), "c", "left").withColumn("root", F.coalesce("component", "c"))
-    least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of_class.join(least, "root").select(*same, "root", "component_id")
+    named = of_class.select(*same, "root", F.min("least").over(Window.partitionBy("root")).alias("component_id"))
     return (
         signed.select("doc_id", "tkey", *same)
         .join(named, same, "left")
